@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterloom.llm import decontaminate, mixing, simhash
+from clusterloom.llm import decontaminate, licenses, mixing, pii, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_weak_supervision_pii": pii.op1_weak_supervision_pii,
+        "op4_nb_svm_quality": quality.op4_nb_svm_quality,
         "op6_simhash_components": simhash.op6_simhash_components,
+        "op8_license_templates": licenses.op8_license_templates,
         "op9_systematic_mix": mixing.op9_systematic_mix,
         "op10_fm_decontamination": decontaminate.op10_fm_decontamination,
     }
