@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterloom.llm import decontaminate, licenses, mixing, pii, quality, simhash
+from clusterloom.llm import decontaminate, licenses, mixing, pii, quality, sharding, simhash, tokens, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_weak_supervision_pii": pii.op1_weak_supervision_pii,
+        "op3_tiered_shards": sharding.op3_tiered_shards,
         "op4_nb_svm_quality": quality.op4_nb_svm_quality,
+        "op5_huffman_tokens": tokens.op5_huffman_tokens,
         "op6_simhash_components": simhash.op6_simhash_components,
+        "op7_kdtree_topk": topk.op7_kdtree_topk,
         "op8_license_templates": licenses.op8_license_templates,
         "op9_systematic_mix": mixing.op9_systematic_mix,
         "op10_fm_decontamination": decontaminate.op10_fm_decontamination,
@@ -21,4 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_systematic_mix": mixing.OP9_SQL, "op10_fm_decontamination": decontaminate.OP10_SQL}
+    return {
+        "op3_tiered_shards": sharding.OP3_SQL,
+        "op7_kdtree_topk": topk.OP7_SQL,
+        "op9_systematic_mix": mixing.OP9_SQL,
+        "op10_fm_decontamination": decontaminate.OP10_SQL,
+    }
