@@ -20,6 +20,7 @@ import json
 import math
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -160,15 +161,25 @@ class ShardStore:
             made: list[Shard] = []
             for at in range(0, len(groups), MERGES):
                 merged = [self._read(g, schema).coalesce(1) for g in groups[at : at + MERGES]]
-                all_of = merged[0]
-                for m in merged[1:]:
-                    all_of = all_of.union(m)
-                folder = f"{self.root}/shards/{uuid.uuid4().hex}"
-                all_of.write.option("compression", "zstd").parquet(folder)
-                made += self._written(folder)
+                made += self._write_apart(merged)
             gone = {s.path for g in groups for s in g}
             self.commit(now["version"], schema, [*(s for s in shards if s.path not in gone), *made])
 
+    def _write_apart(self, parts: list[DataFrame]) -> list[Shard]:
+        """One job that writes each of the single-partition ``parts`` to a file of its own.
+
+        A union of single partitions is otherwise laid into one partition.
+        """
+        key = "spark.sql.unionOutputPartitioning"
+        before = self.spark.conf.get(key, "true")
+        folder = f"{self.root}/shards/{uuid.uuid4().hex}"
+        self.spark.conf.set(key, "false")
+        try:
+            reduce(DataFrame.union, parts).write.option("compression", "zstd").parquet(folder)
+        finally:
+            self.spark.conf.set(key, before)
+        return self._written(folder)
+
     def expire(self, keep: int = 1) -> None:
         """Drop all versions but the last ``keep``, and the files that only they name."""
         last = self.version()
