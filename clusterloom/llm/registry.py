@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterloom.llm import decontaminate, licenses, mixing, pii, quality, sharding, simhash, tokens, topk
+from clusterloom.llm import decontaminate, licenses, mixing, pii, quality, repeats, sharding, simhash, tokens, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_weak_supervision_pii": pii.op1_weak_supervision_pii,
+        "op2_suffix_interval_dedup": repeats.op2_suffix_interval_dedup,
         "op3_tiered_shards": sharding.op3_tiered_shards,
         "op4_nb_svm_quality": quality.op4_nb_svm_quality,
         "op5_huffman_tokens": tokens.op5_huffman_tokens,
