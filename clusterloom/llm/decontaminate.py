@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import ALNUM, alnum_words, raw
+from clusterloom.llm.common import ALNUM, alnum_words, raw, slices
 from clusterloom.llm.fmindex import FMIndex
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
-SHARD_WORDS = 6_000_000
+SHARD_WORDS = 2_000_000
 MARKS = "spans array<struct<start:int,end:int>>, items array<string>, n_words long"
 
 
@@ -124,7 +124,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _marked_batches(batches: Iterator[pa.RecordBatch], block, text_at: int) -> Iterator[pa.RecordBatch]:
     windows = block.value
-    for batch in batches:
+    for batch in slices(batches, 4000):
         row = batch.column(0)
         texts = raw(row.field(text_at))
         first = 0
@@ -190,7 +190,7 @@ def _without(text: str | None, spans) -> str | None:
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch], text_at: int, chars_at: int | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         row = batch.column(0)
         spans = batch.column(1).to_pylist()
         fields = row.flatten()

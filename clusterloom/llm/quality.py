@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import raw, text_frame
+from clusterloom.llm.common import raw, slices, text_frame
 
 WIDTH = 1 << 17
 SAMPLE = 12_000
 ROUNDS = 12
 COST = 1.0
 THRESHOLD = 0.3
-MEMO = 300_000
+MEMO = 150_000
 
 
 class _Words(dict):
@@ -165,7 +165,7 @@ def held_out(id_column: Column) -> Column:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [features(t).astype(np.int32) for t in raw(batch.column(1))]
         ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
         places = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
@@ -186,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m = model.value
-    for batch in batches:
+    for batch in slices(batches):
         *kept, texts = batch.columns
         scores = [m.score(features(t)) for t in raw(texts)]
         yield pa.RecordBatch.from_arrays([*kept, pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
@@ -200,7 +200,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def _kept(batches: Iterator[pa.RecordBatch], model, text_at: int, threshold: float) -> Iterator[pa.RecordBatch]:
     m = model.value
-    for batch in batches:
+    for batch in slices(batches):
         good = [m.score(features(t)) >= threshold for t in raw(batch.column(text_at))]
         yield batch.filter(pa.array(good, pa.bool_()))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import raw, space_words, text_frame
+from clusterloom.llm.common import raw, slices, space_words, text_frame
 from clusterloom.operators.components import connected_components
 from clusterloom.sources.storage import stored
 
@@ -60,7 +60,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         prints = np.array([fingerprint(t, shingle) for t in raw(batch.column(1))], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["id", "fp"])
 
