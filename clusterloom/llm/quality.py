@@ -145,7 +145,7 @@ def fit(rows: list[np.ndarray], quality: np.ndarray) -> Model:
     labels = np.where(quality > 0, 1.0, -1.0)
     if len(set(labels)) < 2:
         share = float((labels > 0).mean()) if len(labels) else 1.0
-        z = float(np.log(max(share, 1e-12) / max(1 - share, 1e-12)))
+        z = float(np.log(max(share, 1e-200)) - np.log(max(1 - share, 1e-200)))
         return Model(np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0, z)
     fold = np.arange(len(rows)) % 2
     margins = np.zeros(len(rows))
