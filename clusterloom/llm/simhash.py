@@ -225,7 +225,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """Documents of which the id is the smallest of its component; rows that share that id stay once."""
+    """Documents of which the id is the smallest of its component; rows that share that id stay once.
+    A document without an id cannot be named as the one that stays and is dropped."""
     found = near_duplicate_components(docs, id_col, text_col, **more)
     kept = found.where("id = component").select(F.col("id").alias("kept_id")).distinct()
     return docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi").dropDuplicates([id_col])
