@@ -226,10 +226,15 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """Documents of which the id is the smallest of its component; rows that share that id stay once.
-    A document without an id cannot be named as the one that stays and is dropped."""
-    found = near_duplicate_components(docs, id_col, text_col, **more)
+    A document without an id goes by a hash of its text, above any usual id."""
+    key = "key"
+    while key in docs.columns:
+        key = f"_{key}"
+    keyed = docs.withColumn(key, F.coalesce(docs[id_col].cast("long"), F.shiftrightunsigned(F.xxhash64(docs[text_col]), 1)))
+    found = near_duplicate_components(keyed, key, text_col, **more)
     kept = found.where("id = component").select(F.col("id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi").dropDuplicates([id_col])
+    one = keyed.join(kept, keyed[key] == kept["kept_id"], "left_semi").dropDuplicates([key])
+    return one.select(*[one[c] for c in docs.columns])
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
