@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clusterloom.functions.logmath import log_factorial
 from clusterloom.sources.edges import profile
 
 
@@ -72,6 +73,45 @@ def agreement(truth: DataFrame, found: DataFrame) -> DataFrame:
     return t.select(n.cast("long").alias("nodes"), r(ari, "ari"), r(nmi, "nmi"), r(ratio(s, b), "precision"), r(ratio(s, a), "recall"), r(ratio(2 * s, a + b), "f1"))
 
 
+def adjusted_information(truth: DataFrame, found: DataFrame) -> DataFrame:
+    """One row (nodes, mutual, expected, ami) over the common nodes; two trivial equal clusterings give 1.
+
+    The expected information depends on cluster sizes only, so it is summed once for each pair of
+    distinct sizes; those are at most sqrt(2 N) on each side.
+    """
+    table = contingency(truth, found)
+    plogp = lambda c: F.sum(F.col(c) * F.log(c))
+    cells = table.agg(plogp("n").alias("hs"), F.sum("n").alias("N"))
+    rows = table.groupBy("a").agg(F.sum("n").alias("n")).groupBy(F.col("n").alias("ra")).agg(F.count(F.lit(1)).alias("ka"))
+    cols = table.groupBy("b").agg(F.sum("n").alias("n")).groupBy(F.col("n").alias("cb")).agg(F.count(F.lit(1)).alias("kb"))
+    entropy = lambda t, size, k, name: t.agg(F.sum(F.col(k) * F.col(size) * F.log(size)).alias(name))
+    one = cells.join(F.broadcast(entropy(rows, "ra", "ka", "ha"))).join(F.broadcast(entropy(cols, "cb", "kb", "hb")))  # one row each
+    a, b, n, total = (F.col(c) for c in ("ra", "cb", "x", "N"))
+    sizes = rows.join(F.broadcast(cells.select("N"))).withColumn("one", F.lit(1)).join(cols.withColumn("one", F.lit(1)), "one")
+    each = sizes.withColumn("x", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), a + b - total), F.least(a, b))))
+    f = log_factorial
+    chance = F.exp(f(a) + f(b) + f(total - a) + f(total - b) - f(total) - f(n) - f(a - n) - f(b - n) - f(total - a - b + n))
+    expected = each.agg(F.coalesce(F.sum(F.col("ka") * F.col("kb") * n / total * F.log(total * n / (a * b)) * chance), F.lit(0.0)).alias("emi"))
+    t = one.join(F.broadcast(expected))  # one row each
+    ha, hb = F.log("N") - F.col("ha") / total, F.log("N") - F.col("hb") / total
+    mi = F.log("N") + (F.col("hs") - F.col("ha") - F.col("hb")) / total
+    room = (ha + hb) / 2 - F.col("emi")
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return t.select(total.cast("long").alias("nodes"), r(mi, "mutual"), r(F.col("emi"), "expected"), r(F.when(F.abs(room) < 1e-12, 1.0).otherwise((mi - F.col("emi")) / room), "ami"))
+
+
+def size_distribution(clustering: DataFrame) -> DataFrame:
+    """One row (clusters, least, median, mean, most) of the cluster sizes; no clusters give nulls."""
+    n = clustering.where("cluster_id IS NOT NULL").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.count(F.lit(1)).alias("clusters"), F.min("n").alias("least"), F.round(F.median("n"), 6).alias("median"), F.round(F.avg("n"), 6).alias("mean"), F.max("n").alias("most"))
+
+
+def cpm_score(edges: DataFrame, clustering: DataFrame, gamma: float) -> DataFrame:
+    """(cluster_id, score): edges within less ``gamma`` times the pairs of nodes."""
+    s = cluster_stats(edges, clustering)
+    return s.select("cluster_id", F.round(F.col("m_in") - gamma * F.col("n") * (F.col("n") - 1) / 2, 6).alias("score"))
+
+
 def best_model(models: DataFrame) -> DataFrame:
     """The (ord, model, entropy) row of least entropy; the first wins ties, NaN never wins."""
     best = models.where("entropy IS NOT NULL AND NOT isnan(entropy)").agg(F.min(F.struct("entropy", "ord", "model")).alias("m"))

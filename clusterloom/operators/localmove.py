@@ -1,9 +1,11 @@
-"""Local-move clustering (modularity, CPM, map equation) of each connected component.
+"""Local-move clustering (modularity, CPM, map equation).
 
-A component is one group; inside it nodes move to the neighbouring cluster of the greatest gain until
-none gains, clusters become nodes, and the levels repeat.  Clusters are split into connected pieces at the
-end, as the Leiden guarantee asks.  The graph's total weight is passed in, so that components can be
-solved apart.  A component must fit one task.
+Nodes move to the neighbouring cluster of the greatest gain until none gains, clusters become nodes, and
+the levels repeat.  Clusters are split into connected pieces at the end, as the Leiden guarantee asks.
+Connected components of at most ``IN_TASK_EDGES`` edges are solved in one task each; larger ones by
+rounds of joins and aggregates in which a seeded half of the nodes may move, so that no task holds a
+component.  Once a level has few enough edges the kernel of the small ones finishes it.  The graph's
+total weight is passed in; the map equation's index term is taken within each component or group of them.
 """
 
 from __future__ import annotations
@@ -11,14 +13,20 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.operators.components import connected_components
-from clusterloom.operators.refine import connected_clusters, numbered
+from clusterloom.operators.graph import dense_index
+from clusterloom.operators.refine import connected_clusters, numbered, well_connected_clusters
 from clusterloom.sources.edges import profile
+from clusterloom.sources.storage import stored
 
 MODELS = ("mod", "cpm", "infomap")
+#: Edges that one task clusters at most.
+IN_TASK_EDGES = 100_000
+#: Rounds of one level at most, and rounds without a better objective after which it ends.
+MAX_ROUNDS, PATIENCE = 24, 4
 
 
 def _plogp(x: float) -> float:
@@ -80,10 +88,10 @@ def move_nodes(links: list[dict[int, float]], loops: list[float], sizes: list[in
     return label
 
 
-def cluster_component(pairs: list[tuple[int, int, float]], n: int, model: str, gamma: float, m: float, seed: int) -> list[int]:
-    """Cluster of each of n nodes over weighted pairs, level by level."""
+def cluster_component(pairs: list[tuple[int, int, float]], n: int, model: str, gamma: float, m: float, seed: int, loops: list[float] | None = None, sizes: list[int] | None = None) -> list[int]:
+    """Cluster of each of n nodes over weighted pairs, level by level; nodes may stand for groups."""
     member = list(range(n))
-    loops, sizes = [0.0] * n, [1] * n
+    loops, sizes = loops or [0.0] * n, sizes or [1] * n
     while True:
         k = len(sizes)
         links: list[dict[int, float]] = [{} for _ in range(k)]
@@ -110,15 +118,126 @@ def cluster_component(pairs: list[tuple[int, int, float]], n: int, model: str, g
         pairs, loops, sizes = [(a, b, w) for (a, b), w in sorted(merged.items())], new_loops, new_sizes
 
 
-def local_move(edges: DataFrame, model: str, resolution: float = 1.0, seed: int = 1234) -> DataFrame:
-    """(node_id, cluster_id) by the model ``mod``, ``cpm`` or ``infomap``; connected, no singletons."""
-    if model not in MODELS:
-        raise ValueError(f"unknown model {model!r}; one of {MODELS}")
-    links = profile(edges, "accumulated").where("src <> dst")
+def _column_plogp(x: Column) -> Column:
+    return F.when(x > 1e-15, x * F.log2(x)).otherwise(0.0)
+
+
+def _value(totals: DataFrame, model: str, gamma: float, m: float) -> float:
+    """What the moves increase, from the sums of each cluster."""
+    k, size, inner = F.col("k"), F.col("size"), F.col("inner")
+    if model == "mod":
+        found = F.sum(inner / m - gamma * F.pow(k / (2 * m), 2.0))
+    elif model == "cpm":
+        found = F.sum(inner - gamma * size * size / 2)
+    else:
+        q, p = (k - 2 * inner) / (2 * m), k / (2 * m)
+        found = 2 * F.sum(_column_plogp(q)) - F.sum(_column_plogp(q + p)) - _column_plogp(F.sum(q))
+    return totals.agg(F.coalesce(found, F.lit(0.0))).first()[0]
+
+
+def _gain(model: str, gamma: float, m: float, all_out: float) -> Column:
+    """Gain of leaving one's cluster (``_own``) for a neighbouring one, both with the node counted where it is."""
+    w, w_own, deg, size = F.col("w"), F.col("w_own"), F.col("deg"), F.col("n")
+    if model == "mod":
+        return w - w_own - gamma * deg * (F.col("k") - F.col("k_own") + deg) / (2 * m)
+    if model == "cpm":
+        return w - w_own - gamma * size * (F.col("size") - F.col("size_own") + size)
+    reach = deg - 2 * F.col("loop")
+    out, out_own = F.col("k") - 2 * F.col("inner"), F.col("k_own") - 2 * F.col("inner_own")
+    to, left = out + reach - 2 * w, out_own - reach + 2 * w_own
+    h = lambda x: _column_plogp(x / (2 * m))
+    index = h(F.lit(all_out) - out - out_own + to + left) - h(F.lit(all_out))
+    exits = h(to) + h(left) - h(out) - h(out_own)
+    modules = h(to + F.col("k") + deg) + h(left + F.col("k_own") - deg) - h(out + F.col("k")) - h(out_own + F.col("k_own"))
+    return -(index - 2 * exits + modules)
+
+
+def _level(links: DataFrame, state: DataFrame, model: str, gamma: float, m: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The best labels seen (node, comm, deg, n, loop) and the sums of their clusters."""
+    best, best_value, worse = None, -math.inf, 0
+    for r in range(MAX_ROUNDS + 1):
+        near = stored(links.join(state.select(F.col("node").alias("v"), "comm"), "v").groupBy("u", "comm").agg(F.sum("w").alias("w")))
+        mine = state.join(near.withColumnRenamed("u", "node"), ["node", "comm"], "left").select("node", F.col("comm").alias("own"), "deg", "n", "loop", F.coalesce("w", F.lit(0.0)).alias("w_own"))
+        totals = stored(mine.groupBy(F.col("own").alias("comm")).agg(F.sum("deg").alias("k"), F.sum("n").alias("size"), (F.sum("loop") + F.sum("w_own") / 2).alias("inner")))
+        value = _value(totals, model, gamma, m)
+        if value > best_value + 1e-12:
+            best, best_value, worse = (state, totals), value, 0
+        else:
+            worse += 1
+        if worse >= PATIENCE or r == MAX_ROUNDS:
+            break
+        all_out = totals.agg(F.coalesce(F.sum(F.col("k") - 2 * F.col("inner")), F.lit(0.0))).first()[0]
+        # Only the nodes whose turn it is look for a cluster, so neighbours seldom swap.
+        turn = mine.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(r // 2), "node"), F.lit(2)) == r % 2)
+        own = totals.select(F.col("comm").alias("own"), F.col("k").alias("k_own"), F.col("size").alias("size_own"), F.col("inner").alias("inner_own"))
+        offers = near.withColumnRenamed("u", "node").join(turn.join(own, "own"), "node").where("comm <> own").join(totals, "comm")
+        gain = offers.withColumn("gain", _gain(model, gamma, m, all_out)).where("gain > 1e-12")
+        to = gain.groupBy("node").agg(F.max(F.struct("gain", (-F.col("comm")).alias("less"))).alias("to")).select("node", (-F.col("to.less")).alias("new"))
+        state = stored(state.join(to, "node", "left").select("node", F.coalesce("new", "comm").alias("comm"), "deg", "n", "loop"))
+    return best
+
+
+def _distributed(links: DataFrame, model: str, gamma: float, m: float, seed: int) -> DataFrame:
+    """(node_id, piece) of the nodes of (src, dst, weight), each pair once, without one task holding them."""
+    ids = stored(dense_index(links.select(F.col("src").alias("node_id")).union(links.select("dst")).distinct(), ["node_id"], "id").select("node_id", F.col("id").cast("long").alias("id")))
+    one = links.join(ids.select(F.col("node_id").alias("src"), F.col("id").alias("u")), "src").join(ids.select(F.col("node_id").alias("dst"), F.col("id").alias("v")), "dst").select("u", "v", F.col("weight").alias("w"))
+    cur = stored(one.union(one.select("v", "u", "w")))
+    state = stored(cur.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("deg")).select("node", F.col("node").alias("comm"), "deg", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("loop")))
+    member = ids.select("node_id", F.col("id").alias("node"))
+    while True:
+        if cur.count() <= 2 * IN_TASK_EDGES:
+            label = _rest(cur, state, model, gamma, m, seed)
+            member = member.join(label, "node").select("node_id", F.col("comm").alias("node"))
+            break
+        before = state.count()
+        state, totals = _level(cur, state, model, gamma, m, seed)
+        label = state.select("node", "comm")
+        member = stored(member.join(label, "node").select("node_id", F.col("comm").alias("node")))
+        if totals.count() == before:
+            break
+        ends = cur.join(label.select(F.col("node").alias("u"), F.col("comm").alias("a")), "u").join(label.select(F.col("node").alias("v"), F.col("comm").alias("b")), "v")
+        cur = stored(ends.where("a <> b").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("w").alias("w")))
+        state = stored(totals.select(F.col("comm").alias("node"), "comm", F.col("k").alias("deg"), F.col("size").alias("n"), F.col("inner").alias("loop")))
+    least = member.groupBy("node").agg(F.min("node_id").alias("piece"))
+    return member.join(least, "node").select("node_id", "piece")
+
+
+def _rest(links: DataFrame, state: DataFrame, model: str, gamma: float, m: float, seed: int) -> DataFrame:
+    """(node, comm) of a level of at most 2 x IN_TASK_EDGES rows; nodes that no edge names keep their own."""
+    rows = links.where("u < v").join(state.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("loop").alias("lu")), "u").join(state.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("loop").alias("lv")), "v")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["u"]) | set(pdf["v"]))
+        at = {v: i for i, v in enumerate(names)}
+        sizes, loops = [1] * len(names), [0.0] * len(names)
+        for end, n, loop in (("u", "nu", "lu"), ("v", "nv", "lv")):
+            for x, size, inner in zip(pdf[end], pdf[n], pdf[loop], strict=True):
+                sizes[at[x]], loops[at[x]] = size, inner
+        pairs = sorted((at[a], at[b], w) for a, b, w in zip(pdf["u"], pdf["v"], pdf["w"], strict=True))
+        label = cluster_component(pairs, len(names), model, gamma, m, seed, loops, sizes)
+        first = {c: i for i, c in reversed(list(enumerate(label)))}
+        return pd.DataFrame({"node": names, "comm": [names[first[c]] for c in label]})
+
+    found = rows.withColumn("every", F.lit(0)).groupBy("every").applyInPandas(solve, "node long, comm long")
+    return stored(state.select("node").join(found, "node", "left").select("node", F.coalesce("comm", "node").alias("comm")))
+
+
+def prepared(edges: DataFrame) -> tuple[DataFrame, float]:
+    """The accumulated loopless edges with their component and its number of edges, and the total weight."""
+    links = profile(edges.where("src IS NOT NULL AND dst IS NOT NULL"), "accumulated").where("src <> dst")
     m = float(links.agg(F.coalesce(F.sum("weight"), F.lit(1.0))).first()[0])
     parts = connected_components(links)
     grouped = links.join(parts.select(F.col("node").alias("src"), "component"), "src")
-    node = edges.schema["src"].dataType.simpleString()
+    sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("n_edges"))
+    return stored(grouped.join(sizes, "component")), m
+
+
+def local_labels(ready: tuple[DataFrame, float], model: str, resolution: float = 1.0, seed: int = 1234) -> DataFrame:
+    """(node_id, piece) of the nodes of ``prepared`` edges; a piece is named by its smallest node."""
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model!r}; one of {MODELS}")
+    grouped, m = ready
+    node = grouped.schema["src"].dataType.simpleString()
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["src"]) | set(pdf["dst"]))
@@ -130,5 +249,34 @@ def local_move(edges: DataFrame, model: str, resolution: float = 1.0, seed: int
             least.setdefault(c, i)
         return pd.DataFrame({"node_id": names, "piece": [names[least[c]] for c in label]})
 
-    found = numbered(grouped.groupBy("component").applyInPandas(solve, f"node_id {node}, piece {node}"))
-    return connected_clusters(links, found)
+    small = F.col("n_edges") <= IN_TASK_EDGES
+    found = grouped.where(small).groupBy("component").applyInPandas(solve, f"node_id {node}, piece {node}")
+    large = grouped.where(~small).select("src", "dst", "weight")
+    return found if large.isEmpty() else found.unionByName(_distributed(large, model, resolution, m, seed))
+
+
+def local_move(edges: DataFrame, model: str, resolution: float = 1.0, seed: int = 1234) -> DataFrame:
+    """(node_id, cluster_id) by the model ``mod``, ``cpm`` or ``infomap``; connected, no singletons.
+
+    Rows with a null end are ignored; an empty graph gives no rows."""
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model!r}; one of {MODELS}")
+    found = numbered(local_labels(prepared(edges), model, resolution, seed))
+    return connected_clusters(edges, found)
+
+
+def modified_clusters(edges: DataFrame, clustering: DataFrame, criterion: str, model: str = "mod", resolution: float = 1.0, seed: int = 1234) -> DataFrame:
+    """CM: clusters cut at minimum cuts, each side clustered anew by ``mod`` or ``cpm``, until all pieces
+    are well connected; no singletons."""
+    if model not in ("mod", "cpm"):
+        raise ValueError(f"no connectivity modifier for {model!r}")
+
+    def again(links: list[dict[int, float]]) -> list[list[int]]:
+        pairs = [(a, b, w) for a, near in enumerate(links) for b, w in near.items() if a < b]
+        weight = sum(w for *_, w in pairs)
+        groups: dict[int, list[int]] = {}
+        for i, c in enumerate(cluster_component(pairs, len(links), model, resolution, weight or 1.0, seed)):
+            groups.setdefault(c, []).append(i)
+        return list(groups.values())
+
+    return well_connected_clusters(edges, clustering, criterion, again)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,64 +64,112 @@ def numbered(pieces: DataFrame) -> DataFrame:
     return pieces.join(ids, "piece").select("node_id", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
-def min_cut(weights: np.ndarray) -> tuple[float, np.ndarray]:
-    """Weight and one side of a minimum cut of a dense symmetric matrix (maximum-adjacency phases)."""
-    n = len(weights)
-    w, alive = weights.astype(float).copy(), list(range(n))
-    merged = {i: [i] for i in alive}
+Links = list[dict[int, float]]
+
+
+def min_cut(links: Links) -> tuple[float, list[int]]:
+    """Weight and one side of a minimum cut of a connected graph of neighbour maps (maximum-adjacency phases).
+
+    A heap keeps the phases at edges x log nodes, and memory at the edges.  A single node has no cut."""
+    w = [dict(x) for x in links]
+    merged: list[list[int]] = [[i] for i in range(len(w))]
+    alive = set(range(len(w)))
     best, side = math.inf, []
     while len(alive) > 1:
-        order, key = [], {i: 0.0 for i in alive}
-        while key:
-            i = max(key, key=lambda v: (key[v], -v))
-            cut = key.pop(i)
-            order.append(i)
-            for v in key:
-                key[v] += w[i, v]
-        s, t = order[-2:]
+        start = min(alive)
+        key, done, prev, last = {start: 0.0}, set(), -1, -1
+        heap, rest, cut = [(0.0, start)], iter(sorted(alive)), 0.0
+        while len(done) < len(alive):
+            while heap and (heap[0][1] in done or -heap[0][0] != key[heap[0][1]]):
+                heapq.heappop(heap)
+            i = heapq.heappop(heap)[1] if heap else next(v for v in rest if v not in done)
+            done.add(i)
+            prev, last, cut = last, i, key.get(i, 0.0)
+            for v, x in w[i].items():
+                if v not in done:
+                    key[v] = key.get(v, 0.0) + x
+                    heapq.heappush(heap, (-key[v], v))
         if cut < best:
-            best, side = cut, list(merged[t])
-        merged[s] += merged.pop(t)
-        w[s] += w[t]
-        w[:, s] += w[:, t]
-        w[s, s] = 0
-        alive.remove(t)
-    return best, np.array(sorted(side))
+            best, side = cut, list(merged[last])
+        for v, x in w[last].items():
+            del w[v][last]
+            if v != prev:
+                w[prev][v] = w[prev].get(v, 0.0) + x
+                w[v][prev] = w[prev][v]
+        w[last] = {}
+        merged[prev] += merged[last]
+        alive.remove(last)
+    return best, sorted(side)
 
 
-def well_connected(matrix: np.ndarray, criterion: str, recluster=None) -> list[np.ndarray]:
+def within(links: Links, part: list[int]) -> Links:
+    """The subgraph of ``part``, its nodes numbered by their place there."""
+    at = {v: i for i, v in enumerate(part)}
+    return [{at[v]: x for v, x in links[u].items() if v in at} for u in part]
+
+
+def well_connected(links: Links, criterion: str, recluster=None) -> list[list[int]]:
     """Pieces whose minimum cut exceeds the criterion; ``recluster`` groups each side of a cut first."""
-    todo, done = [np.arange(len(matrix))], []
+    todo, done = [list(range(len(links)))], []
     while todo:
         part = todo.pop()
         if len(part) < 2:
             continue
-        cut, side = min_cut(matrix[np.ix_(part, part)])
+        cut, side = min_cut(within(links, part))
         if cut > bound(criterion, len(part)):
-            done.append(part)
+            done.append(sorted(part))
             continue
-        for half in (part[side], np.delete(part, side)):
-            groups = recluster(matrix[np.ix_(half, half)]) if recluster and len(half) > 1 else [np.arange(len(half))]
-            todo += [half[g] for g in groups]
+        chosen = set(side)
+        for half in ([v for i, v in enumerate(part) if i in chosen], [v for i, v in enumerate(part) if i not in chosen]):
+            groups = recluster(within(links, half)) if recluster and len(half) > 1 else [range(len(half))]
+            todo += [[half[i] for i in g] for g in groups]
     return done
 
 
+def cluster_links(pdf: pd.DataFrame) -> tuple[list, Links]:
+    """Names and neighbour maps of one cluster's edges."""
+    names = sorted(set(pdf["src"]) | set(pdf["dst"]))
+    at = {v: i for i, v in enumerate(names)}
+    links: Links = [{} for _ in names]
+    for a, b in zip(pdf["src"], pdf["dst"], strict=True):
+        links[at[a]][at[b]] = links[at[b]][at[a]] = 1.0
+    return names, links
+
+
 def well_connected_clusters(edges: DataFrame, clustering: DataFrame, criterion: str, recluster=None) -> DataFrame:
     """WCC (or CM with ``recluster``): clusters cut until each piece's minimum cut exceeds f(n).
 
-    Clusters are first split into components, which is all that criteria below one ask for.
+    Clusters are first split into components, which is all that criteria below one ask for: those never
+    reach Python.  Of the others one task holds one cluster's edges.
     """
     whole = connected_clusters(edges, clustering)
-    links = inside(edges, whole)
+    sizes = whole.groupBy("cluster_id").agg(criterion_column(criterion, F.count(F.lit(1))).alias("least"))
+    ready = whole.join(sizes.where("least < 1").select("cluster_id"), "cluster_id", "left_semi")
+    least = ready.groupBy("cluster_id").agg(F.min("node_id").alias("piece"))
+    links = inside(edges, whole.join(sizes.where("least >= 1").select("cluster_id"), "cluster_id", "left_semi"))
     node = edges.schema["src"].dataType.simpleString()
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["src"]) | set(pdf["dst"]))
-        at = {v: i for i, v in enumerate(names)}
-        m = np.zeros((len(names), len(names)))
-        for a, b in zip(pdf["src"], pdf["dst"], strict=True):
-            m[at[a], at[b]] = m[at[b], at[a]] = 1
-        rows = [(names[i], names[min(p)]) for p in well_connected(m, criterion, recluster) for i in p]
+        names, links = cluster_links(pdf)
+        rows = [(names[i], names[min(p)]) for p in well_connected(links, criterion, recluster) for i in p]
         return pd.DataFrame(rows, columns=["node_id", "piece"])
 
-    return numbered(links.groupBy("cluster_id").applyInPandas(split, f"node_id {node}, piece {node}"))
+    cut = links.groupBy("cluster_id").applyInPandas(split, f"node_id {node}, piece {node}")
+    return numbered(ready.join(least, "cluster_id").select("node_id", "piece").unionByName(cut))
+
+
+def cluster_cuts(edges: DataFrame, clustering: DataFrame) -> DataFrame:
+    """(cluster_id, n, min_cut, cut_log, cut_sqrt): each cluster's least edge cut, 0 if it is not connected,
+    and its ratio to log10(n) and sqrt(n) (0 for a single node)."""
+    sizes = clustering.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, links = cluster_links(pdf)
+        return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[:1], "joined": len(names), "cut": min_cut(links)[0]})
+
+    kind = clustering.schema["cluster_id"].dataType.simpleString()
+    found = inside(edges, clustering).groupBy("cluster_id").applyInPandas(cut, f"cluster_id {kind}, joined long, cut double")
+    n = F.col("n")
+    value = F.when(F.col("joined") == n, F.col("cut")).otherwise(0.0)
+    ratio = lambda by: F.when(n > 1, value / by).otherwise(0.0)
+    return sizes.join(found, "cluster_id", "left").select("cluster_id", "n", value.alias("min_cut"), F.round(ratio(F.log10(n)), 6).alias("cut_log"), F.round(ratio(F.sqrt(n)), 6).alias("cut_sqrt"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clusterloom.functions import measures
-from clusterloom.operators import graph, kcore, localmove, refine
+from clusterloom.operators import blockmodel, graph, kcore, localmove, refine
 from clusterloom.operators.components import connected_components
 from clusterloom.sources.edges import profile
 
@@ -68,6 +68,40 @@ def _k_valid(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(inner).join(both, "node").groupBy("component").agg(F.expr("bool_and(degree >= 2)").alias("valid"), F.count(F.lit(1)).alias("n"))
 
 
+def _entropy(spark: SparkSession, d: str, model: str) -> DataFrame:
+    found = blockmodel.description_length(copart(spark, d), by_brand(spark, d), model)
+    return found.withColumn("entropy", F.round("entropy", 4))
+
+
+def _entropy_sql(model: str) -> str:
+    lf = lambda x: f"lgamma(({x})::DOUBLE + 1)"
+    choose = lambda n, k: f"CASE WHEN {k} <= 0 OR {k} >= {n} THEN 0 ELSE {lf(n)} - {lf(k)} - {lf(f'{n} - {k}')} END"
+    fit = {
+        "dc": f"e0 + lfk - lfe - ({choose('b * (b + 1) // 2 + e - 1', 'e')}) - degs",
+        "ndc": f"e0 - spread - ({choose('b * (b + 1) // 2 + e - 1', 'e')})",
+        "pp": f"{lf('e_in')} + {lf('e - e_in')} - e_in * ln(b / 2) - CASE WHEN b > 1 THEN (e - e_in) * ln(b * (b - 1) / 2) + ln(e + 1) ELSE 0 END + pp + lfk",
+    }[model]
+    return f"""WITH e AS ({COPART}), v AS (SELECT src AS node FROM e UNION SELECT dst FROM e), k AS ({BY_BRAND}),
+l AS (SELECT node, cluster_id AS r FROM v JOIN k ON node = node_id),
+x AS (SELECT least(a.r, b.r) AS r, greatest(a.r, b.r) AS s, count(*) AS m FROM e JOIN l a ON src = a.node JOIN l b ON dst = b.node GROUP BY 1, 2),
+c AS (SELECT sum(m)::BIGINT AS e, sum(m) FILTER (r = s)::BIGINT AS e_in, sum({lf('m')} + CASE WHEN r = s THEN m * ln(2) ELSE 0 END) AS e0 FROM x),
+g AS (SELECT r, sum(m)::BIGINT AS er FROM (SELECT r, m FROM x UNION ALL SELECT s, m FROM x) GROUP BY r),
+n AS (SELECT r, count(*) AS nr FROM l GROUP BY r), q AS (SELECT nr, coalesce(er, 0) AS er FROM n LEFT JOIN g USING (r)),
+p AS (SELECT count(*) AS b, sum(nr)::BIGINT AS n, sum({lf('nr')}) AS lfn, sum({lf('er')}) AS lfe, sum({choose('(nr + er - 1)', 'er')}) AS degs,
+sum(er * ln(nr)) AS spread, sum({lf('nr - 1')} - {lf('er + nr - 1')}) AS pp FROM q),
+d AS (SELECT sum({lf('k')}) AS lfk FROM (SELECT count(*) AS k FROM (SELECT src AS v FROM e UNION ALL SELECT dst FROM e) GROUP BY v))
+SELECT n, e, b, round(-({fit}) - (lfn - {lf('n')} - ({choose('(n - 1)', '(b - 1)')}) - ln(n)), 4) AS entropy FROM c, p, d"""
+
+
+def cores_sql(edges: str, name: str) -> str:
+    """Two CTEs: both directions of ``edges`` and the core numbers ``name`` (node, core), by h-index rounds."""
+    return f"""{name}_b AS (SELECT src AS u, dst AS v FROM {edges} UNION ALL SELECT dst, src FROM {edges}),
+{name}(node, core) USING KEY (node) AS (SELECT u, count(*) FROM {name}_b GROUP BY u
+  UNION SELECT o.node, h.core FROM (SELECT u, max(least(core, place)) AS core FROM
+    (SELECT b.u, r.core, row_number() OVER (PARTITION BY b.u ORDER BY r.core DESC) AS place FROM {name}_b b JOIN recurring.{name} r ON r.node = b.v) GROUP BY u) h
+  JOIN recurring.{name} o ON o.node = h.u, (SELECT count(*) AS changed FROM {name}) WHERE h.core < o.core AND changed > 0)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "edge_multigraph": lambda s, d: profile(looped(s, d), "multigraph").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")),
@@ -98,6 +132,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "wcc_refine": lambda s, d: refine.well_connected_clusters(copart(s, d), _component_clustering(copart(s, d)), "1log_10(n)"),
         "leiden_mod": lambda s, d: localmove.local_move(copart(s, d), "mod"),
         "leiden_cpm": lambda s, d: localmove.local_move(copart(s, d), "cpm", 0.1),
+        "cm_refine": lambda s, d: localmove.modified_clusters(copart(s, d), _component_clustering(copart(s, d)), "0.2n^0.5"),
+        "cluster_cuts": lambda s, d: refine.cluster_cuts(copart(s, d), _component_clustering(copart(s, d))),
+        "ami": lambda s, d: measures.adjusted_information(by_brand(s, d), by_brand(s, d).withColumn("cluster_id", F.expr("(cluster_id + node_id % 2) % 20"))),
+        "size_distribution": lambda s, d: measures.size_distribution(_component_clustering(copart(s, d))),
+        "cpm_score": lambda s, d: measures.cpm_score(copart(s, d), by_brand(s, d), 0.1),
+        "large_components": lambda s, d: connected_components(copart(s, d)).groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 10"),
+        "sbm_entropy_dc": lambda s, d: _entropy(s, d, "dc"),
+        "sbm_entropy_ndc": lambda s, d: _entropy(s, d, "ndc"),
+        "sbm_entropy_pp": lambda s, d: _entropy(s, d, "pp"),
+        "sbm_flat_best": lambda s, d: blockmodel.best_blocks(copart(s, d))[1],
         "infomap": lambda s, d: localmove.local_move(copart(s, d), "infomap"),
     }
 
@@ -141,6 +185,20 @@ x AS (SELECT t.*, coalesce(volume, 0) AS volume, coalesce(ends_in, 0) AS ends_in
 SELECT cluster_id, n, ends_in // 2 AS m_in, volume - ends_in AS boundary, volume, round(CASE WHEN n > 1 THEN 2 * (ends_in // 2) / (n * (n - 1)) ELSE 0 END, 6) AS density,
 round(CASE WHEN least(volume, 2 * m - volume) > 0 THEN (volume - ends_in) / least(volume, 2 * m - volume) ELSE 0 END, 6) AS conductance,
 round((ends_in // 2) / m - pow(volume / (2 * m), 2), 6) AS modularity FROM x""",
+        "core_numbers": f"WITH RECURSIVE e AS ({COPART}), {cores_sql('e', 'c')} SELECT node, core FROM c",
+        "large_components": f"{comp} SELECT component, count(*) AS n FROM c GROUP BY component HAVING count(*) > 10",
+        "size_distribution": f"{comp} SELECT count(*) AS clusters, min(n) AS least, round(median(n), 6) AS median, round(avg(n), 6) AS mean, max(n) AS most FROM (SELECT count(*) AS n FROM c GROUP BY component)",
+        "cpm_score": f"""WITH e AS ({COPART}), k AS ({BY_BRAND}), i AS (SELECT a.cluster_id, count(*) AS m FROM e JOIN k a ON src = a.node_id JOIN k b ON dst = b.node_id WHERE a.cluster_id = b.cluster_id GROUP BY 1)
+SELECT cluster_id, round(coalesce(m, 0) - 0.1::DOUBLE * n * (n - 1) / 2, 6) AS score FROM (SELECT cluster_id, count(*) AS n FROM k GROUP BY 1) LEFT JOIN i USING (cluster_id)""",
+        "ami": f"""WITH t AS (SELECT cluster_id AS a, b, count(*) AS n FROM ({BY_BRAND}) JOIN {regroup} USING (node_id) GROUP BY 1, 2),
+r AS (SELECT sum(n)::BIGINT AS ra FROM t GROUP BY a), q AS (SELECT sum(n)::BIGINT AS cb FROM t GROUP BY b), z AS (SELECT sum(n)::BIGINT AS N, sum(n * ln(n)) AS hs FROM t),
+h AS (SELECT N, ln(N) - (SELECT sum(ra * ln(ra)) FROM r) / N AS ha, ln(N) - (SELECT sum(cb * ln(cb)) FROM q) / N AS hb, ln(N) + (hs - (SELECT sum(ra * ln(ra)) FROM r) - (SELECT sum(cb * ln(cb)) FROM q)) / N AS mi FROM z),
+w AS (SELECT ra, cb, N, unnest(range(greatest(1, ra + cb - N), least(ra, cb) + 1)) AS x FROM r, q, z),
+y AS (SELECT sum(x / N * ln(N::DOUBLE * x / (ra * cb)) * exp(lgamma(ra + 1) + lgamma(cb + 1) + lgamma(N - ra + 1) + lgamma(N - cb + 1) - lgamma(N + 1) - lgamma(x + 1) - lgamma(ra - x + 1) - lgamma(cb - x + 1) - lgamma(N - ra - cb + x + 1))) AS emi FROM w)
+SELECT N AS nodes, round(mi, 6) AS mutual, round(emi, 6) AS expected, round((mi - emi) / ((ha + hb) / 2 - emi), 6) AS ami FROM h, y""",
+        "sbm_entropy_dc": _entropy_sql("dc"),
+        "sbm_entropy_ndc": _entropy_sql("ndc"),
+        "sbm_entropy_pp": _entropy_sql("pp"),
         "agreement": f"""WITH t AS (SELECT cluster_id AS a, b, count(*) AS n FROM ({BY_BRAND}) JOIN {regroup} USING (node_id) GROUP BY 1, 2),
 c AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n * ln(n)) AS hs, sum(n) AS N FROM t),
 r AS (SELECT sum(n * (n - 1) / 2) AS ra, sum(n * ln(n)) AS ha FROM (SELECT sum(n)::DOUBLE AS n FROM t GROUP BY a)),

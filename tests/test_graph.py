@@ -1,12 +1,16 @@
 """Micro graphs with answers worked out by hand."""
 
+import math
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clusterloom.functions import measures
-from clusterloom.operators import graph, kcore, localmove, refine
+from clusterloom.functions.logmath import log_factorial
+from clusterloom.operators import blockmodel, graph, kcore, localmove, refine
 from clusterloom.operators.components import connected_components
 from clusterloom.plans.config import allowed_refinements, parse_algorithm, routes
 from clusterloom.sources.edges import profile, read_edges
@@ -77,12 +81,76 @@ def test_local_move_finds_planted_groups(spark, model):
     assert sorted(map(sorted, clusters(localmove.local_move(frame(spark, pairs), model)))) == [[f"{g}{i}" for i in range(6)] for g in "abc"]
 
 
+@pytest.mark.parametrize("model", ["mod", "infomap"])
+def test_distributed_moves_find_planted_groups(spark, model, monkeypatch):
+    rng = random.Random(3)
+    pairs = {(i, j) for i in range(90) for j in range(i) if rng.random() < (0.6 if i // 15 == j // 15 else 0.01)}
+    edges = spark.createDataFrame([(f"{a:02d}", f"{b:02d}") for a, b in sorted(pairs)], "src string, dst string")
+    groups: dict[str, set] = {}
+    ready = localmove.prepared(edges)
+    monkeypatch.setattr(localmove, "IN_TASK_EDGES", 60)
+    monkeypatch.setattr(localmove, "MAX_ROUNDS", 10)
+    for r in localmove.local_labels(ready, model).collect():
+        groups.setdefault(r["piece"], set()).add(r["node_id"])
+    assert all(k == min(v) for k, v in groups.items()) and sum(map(len, groups.values())) == 90
+    planted = [{f"{i:02d}" for i in range(g, g + 15)} for g in range(0, 90, 15)]
+    same = sum(len(a & b) * (len(a & b) - 1) / 2 for a in groups.values() for b in planted)
+    assert same >= 0.9 * 6 * 105 and same >= 0.9 * sum(len(a) * (len(a) - 1) / 2 for a in groups.values())
+
+
+def test_cuts_like_all_subsets():
+    rng = random.Random(5)
+    for n in range(2, 8):
+        for _ in range(20):
+            links = [{} for _ in range(n)]
+            for i in range(n):
+                for j in range(i):
+                    if rng.random() < 0.6:
+                        links[i][j] = links[j][i] = float(rng.randint(1, 3))
+            cost = lambda side: sum(w for u in side for v, w in links[u].items() if v not in side)  # noqa: B023, E731
+            least = min(cost({v for v in range(n) if bits >> v & 1}) for bits in range(1, 2**n - 1))
+            weight, side = refine.min_cut(links)
+            assert weight == least == cost(set(side)) and 0 < len(side) < n
+
+
+def test_connectivity_modifier(spark):
+    pairs = [(f"{g}{i}", f"{g}{j}") for g in "ab" for i in range(6) for j in range(i)] + [("a0", "b0")]
+    edges = frame(spark, pairs)
+    one = graph.nodes(edges).selectExpr("node AS node_id", "0L AS cluster_id")
+    for model in ("mod", "cpm"):
+        assert clusters(localmove.modified_clusters(edges, one, "1log_10(n)", model, 0.5)) == [{f"{g}{i}" for i in range(6)} for g in "ab"]
+    cut = refine.cluster_cuts(edges, one).first()
+    assert (cut["n"], cut["min_cut"]) == (12, 1.0)
+
+
+def test_description_lengths(spark):
+    """A triangle in one block, worked by hand, and two planted groups."""
+    triangle, one = frame(spark, BRIDGED[:3]), spark.createDataFrame([(v, 0) for v in "123"], "node_id string, cluster_id long")
+    # One block: P(b) = 1/3, P(e) = 1 and 6!! = 48; ndc: 48 / 3^6; dc: 48 x 2^3 / 6! / C(8, 6).
+    ndc = blockmodel.description_length(triangle, one, "ndc").first()["entropy"]
+    dc = blockmodel.description_length(triangle, one, "dc").first()["entropy"]
+    assert ndc == pytest.approx(-math.log(48 / 3**6 / 3)) and dc == pytest.approx(-math.log(48 * 8 / 720 / 28 / 3))
+    pairs = [(f"{g}{i:02d}", f"{g}{j:02d}") for g in "ab" for i in range(12) for j in range(i)] + [("a00", "b00")]
+    winner, blocks, table = blockmodel.best_blocks(frame(spark, pairs))
+    assert winner in blockmodel.MODELS and table.count() == 3
+    assert sorted(map(sorted, clusters(blocks))) == [[f"{g}{i:02d}" for i in range(12)] for g in "ab"]
+    with pytest.raises(ValueError):
+        blockmodel.description_length(triangle, one, "other")
+
+
+def test_log_factorials(spark):
+    got = spark.range(0, 400).select("id", log_factorial(F.col("id")).alias("x")).collect()
+    assert all(r["x"] == pytest.approx(math.lgamma(r["id"] + 1), abs=1e-9) for r in got)
+
+
 def test_measures(spark):
     models = spark.createDataFrame([(0, "dc", float("nan")), (1, "ndc", 3.0), (2, "pp", 3.0)], "ord int, model string, entropy double")
     assert measures.best_model(models).first()["model"] == "ndc"
     same = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", 1)], "node_id string, cluster_id long")
     got = measures.agreement(same, same).first()
     assert (got["ari"], got["nmi"], got["f1"]) == (1.0, 1.0, 1.0)
+    assert measures.adjusted_information(same, same).first()["ami"] == 1.0
+    assert tuple(measures.size_distribution(same).first()) == (2, 2, 2.0, 2.0, 2)
 
 
 def test_configuration():
