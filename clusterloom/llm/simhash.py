@@ -232,9 +232,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         key = f"_{key}"
     keyed = docs.withColumn(key, F.coalesce(docs[id_col].cast("long"), F.shiftrightunsigned(F.xxhash64(docs[text_col]), 1)))
     found = near_duplicate_components(keyed, key, text_col, **more)
-    kept = found.where("id = component").select(F.col("id").alias("kept_id")).distinct()
-    one = keyed.join(kept, keyed[key] == kept["kept_id"], "left_semi").dropDuplicates([key])
-    return one.select(*[one[c] for c in docs.columns])
+    kept = stored(found.where("id = component").groupBy(F.col("id").alias("kept_id")).agg(F.count(F.lit(1)).alias("rows")))
+    # Only ids that several rows share need the texts sorted; the others stream past a hash of narrow ids.
+    once, shared = kept.where("rows = 1").hint("shuffle_hash"), kept.where("rows > 1")
+    single = keyed.join(once, keyed[key] == once["kept_id"], "left_semi")
+    first = keyed.join(shared, keyed[key] == shared["kept_id"], "left_semi").dropDuplicates([key])
+    return single.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
