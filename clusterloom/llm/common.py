@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Bytes of a batch that goes to Python; one longer row still makes a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bytes of an Arrow batch to ``BATCH_BYTES``: the JVM and the worker of each task
+    hold a batch going and one coming, and the default counts rows, whatever the length of their texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.match(r"(\d+)\s*([a-z]?)", spark.conf.get(key).lower()).groups()
+    if int(size) << 10 * max("bkmgtp".find(unit), 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces, so that few texts are Python objects at a time."""
+    """The batches in pieces, so that few texts are Python objects at a time; at their end, Arrow's
+    unused memory goes back, as the worker lives on between tasks."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def strings(column) -> list[str]:
@@ -48,4 +63,5 @@ def space_words(text: bytes) -> list[bytes]:
 
 def text_frame(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``id`` and ``text``: other columns, whatever their names, never travel with them."""
+    bound_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))

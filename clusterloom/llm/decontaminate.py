@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import ALNUM, alnum_words, raw, slices
+from clusterloom.llm.common import ALNUM, alnum_words, bound_batches, raw, slices
 from clusterloom.llm.fmindex import FMIndex
 
 WINDOW = 10
@@ -161,6 +161,7 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window:
 def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(row, spans, items, n_words): each document's columns as a struct, merged spans of hit words
     (end exclusive), names of the items with a window in it, and its number of words."""
+    bound_batches(docs.sparkSession)
     out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     kind = out.schema["row"].dataType.simpleString() if all(re.fullmatch(r"\w+", c) for c in docs.columns) else None
     at = docs.columns.index(text_col)

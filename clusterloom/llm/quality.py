@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import raw, slices, text_frame
+from clusterloom.llm.common import bound_batches, raw, slices, text_frame
 
 WIDTH = 1 << 17
 SAMPLE = 12_000
@@ -207,6 +207,7 @@ def _kept(batches: Iterator[pa.RecordBatch], model, text_at: int, threshold: flo
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents, unchanged, whose score reaches the threshold."""
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(partial(_kept, model=shipped, text_at=docs.columns.index(text_col), threshold=threshold), docs.schema)
 
