@@ -53,7 +53,8 @@ def contingency(truth: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def agreement(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """One row: N, ARI, NMI, pair precision, recall and F1 over the common nodes."""
+    """One row: N, ARI, NMI, pair precision, recall, F1, false positive and false negative rate over the
+    common nodes.  Rates without a pair to judge are 0, the other ratios 1."""
     table = contingency(truth, found)
     pairs = lambda c: F.coalesce(F.sum(F.col(c) * (F.col(c) - 1) / 2), F.lit(0.0))
     plogp = lambda c: F.sum(F.col(c) * F.log(c))
@@ -70,7 +71,21 @@ def agreement(truth: DataFrame, found: DataFrame) -> DataFrame:
     nmi = F.when(F.abs(ha + hb) < 1e-12, 1.0).otherwise(2 * mi / (ha + hb))
     ratio = lambda x, y: F.when(y > 0, x / y).otherwise(1.0)
     r = lambda c, name: F.round(c, 6).alias(name)
-    return t.select(n.cast("long").alias("nodes"), r(ari, "ari"), r(nmi, "nmi"), r(ratio(s, b), "precision"), r(ratio(s, a), "recall"), r(ratio(2 * s, a + b), "f1"))
+    return t.select(n.cast("long").alias("nodes"), r(ari, "ari"), r(nmi, "nmi"), r(ratio(s, b), "precision"), r(ratio(s, a), "recall"), r(ratio(2 * s, a + b), "f1"), r(F.when(total > a, (b - s) / (total - a)).otherwise(0.0), "fpr"), r(1 - ratio(s, a), "fnr"))
+
+
+def filled(nodes: DataFrame, clustering: DataFrame) -> DataFrame:
+    """Every one of ``nodes`` (node) with a cluster id as text; one without a cluster is a cluster of its own."""
+    known = clustering.where("cluster_id IS NOT NULL").select("node_id", F.concat(F.lit("c"), F.col("cluster_id").cast("string")).alias("c"))
+    every = nodes.select(F.col("node").alias("node_id")).join(known, "node_id", "left")
+    return every.select("node_id", F.coalesce("c", F.concat(F.lit("n"), F.col("node_id").cast("string"))).alias("cluster_id"))
+
+
+def accuracy(nodes: DataFrame, truth: DataFrame, found: DataFrame) -> DataFrame:
+    """Agreement under both policies for nodes that a clustering leaves out: ``intersection`` compares
+    the nodes that both label, ``singletons`` makes each such node of ``nodes`` a cluster of its own."""
+    common = agreement(truth, found).withColumn("policy", F.lit("intersection"))
+    return common.unionByName(agreement(filled(nodes, truth), filled(nodes, found)).withColumn("policy", F.lit("singletons")))
 
 
 def adjusted_information(truth: DataFrame, found: DataFrame) -> DataFrame:

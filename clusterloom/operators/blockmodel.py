@@ -8,6 +8,8 @@ block matrix and one over the blocks give the total; no table of log-factorials
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,3 +96,84 @@ def best_blocks(edges: DataFrame, models: tuple[str, ...] = MODELS, seed: int =
     table = edges.sparkSession.createDataFrame([(i, k, fits[k][1]) for i, k in enumerate(models)], "ord int, model string, entropy double")
     winner = best_model(table).first()["model"]
     return winner, fits[winner][0], table
+
+
+#: Resolutions of the local moves that group blocks on the levels above.
+UPPER = (0.25, 1.0)
+#: Models with a nested form.
+NESTED = ("dc", "ndc")
+
+
+def _top(blocks: int, edges: int) -> float:
+    """Length of the block matrix of ``blocks`` blocks where one group holds them all."""
+    places = blocks * (blocks + 1) / 2
+    return math.log(blocks) + math.lgamma(places + edges) - math.lgamma(edges + 1) - math.lgamma(places) if blocks else 0.0
+
+
+def block_matrix(edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(src, dst, weight): weight between and inside the blocks (node_id, cluster_id) of the edges' nodes."""
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    a = blocks.select(F.col("node_id").alias("src"), F.col("cluster_id").alias("r"))
+    b = blocks.select(F.col("node_id").alias("dst"), F.col("cluster_id").alias("s"))
+    both = edges.select("src", "dst", weight.alias("weight")).join(a, "src").join(b, "dst")
+    return both.groupBy(F.least("r", "s").alias("src"), F.greatest("r", "s").alias("dst")).agg(F.sum("weight").alias("weight"))
+
+
+def level_length(groups: DataFrame, above: DataFrame) -> tuple[int, float]:
+    """Number of groups, and the length of a block matrix under ``groups`` (node_id, cluster_id) of its blocks
+    when ``above``, the matrix of the groups, is known: all multigraphs with those counts are alike."""
+    sizes = groups.groupBy(F.col("cluster_id").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    cells = above.join(sizes.select(F.col("g").alias("src"), F.col("n").alias("nr")), "src").join(sizes.select(F.col("g").alias("dst"), F.col("n").alias("ns")), "dst")
+    places = F.when(F.col("src") == F.col("dst"), (F.col("nr") * (F.col("nr") + 1) / 2).cast("long")).otherwise(F.col("nr") * F.col("ns"))
+    fit = cells.agg(F.coalesce(F.sum(log_multiset(places, F.col("weight").cast("long"))), F.lit(0.0)).alias("fit"))
+    n = F.col("n")
+    row = sizes.agg(F.count(F.lit(1)).alias("b"), F.coalesce(F.sum(n), F.lit(0)).alias("n"), F.coalesce(F.sum(log_factorial(n)), F.lit(0.0)).alias("lf")).join(F.broadcast(fit)).first()  # one row each
+    if not row["n"]:
+        return 0, 0.0
+    choose = math.lgamma(row["n"]) - math.lgamma(row["b"]) - math.lgamma(row["n"] - row["b"] + 1)
+    return row["b"], row["fit"] - row["lf"] + math.lgamma(row["n"] + 1) + choose + math.log(row["n"])
+
+
+def hierarchy(matrix: DataFrame, blocks: DataFrame, n_blocks: int, n_edges: int, seed: int = 1234) -> tuple[list[DataFrame], float]:
+    """Groups (node_id, cluster_id) of the blocks (node_id) level by level, and the length of the matrix under them.
+
+    A level is added while it shortens the description; each has fewer groups than the one below."""
+    levels: list[DataFrame] = []
+    paid = 0.0
+    while n_blocks > 2:
+        ready, tried = prepared(matrix), []
+        for resolution in UPPER:
+            label = local_labels(ready, "mod", resolution, seed)
+            groups = stored(blocks.join(label, "node_id", "left").select("node_id", F.coalesce("piece", "node_id").cast("string").alias("cluster_id")))
+            above = stored(block_matrix(matrix, groups))
+            b, length = level_length(groups, above)
+            if b < n_blocks:
+                tried.append((length + _top(b, n_edges), b, length, groups, above))
+        if not tried:
+            break
+        best, b, length, groups, above = min(tried, key=lambda x: x[:2])
+        if best >= _top(n_blocks, n_edges):
+            break
+        levels.append(groups)
+        paid, n_blocks, matrix = paid + length, b, above
+        blocks = groups.select(F.col("cluster_id").alias("node_id")).distinct()
+    return levels, paid + _top(n_blocks, n_edges)
+
+
+def nested_blocks(edges: DataFrame, model: str, seed: int = 1234, tried: list[DataFrame] | None = None) -> tuple[list[DataFrame], float]:
+    """Levels of (node_id, cluster_id), the nodes' blocks first, and the nested description length.
+
+    The edge prior of the flat model gives way to a hierarchy of groups of blocks.  Level 0 is the least of
+    the candidates of the flat fit, the coarser on a tie; an empty graph has length 0."""
+    if model not in NESTED:
+        raise ValueError(f"no nested form of {model!r}; one of {NESTED}")
+    simple, found = profile(edges, "simple"), []
+    for i, blocks in enumerate(tried or candidates(edges, seed)):
+        flat = description_length(edges, blocks, model).first()
+        matrix = stored(block_matrix(simple, blocks))
+        every = blocks.select(F.col("cluster_id").alias("node_id")).distinct()
+        levels, length = hierarchy(matrix, every, flat["b"], flat["e"], seed)
+        flat_prior = _top(flat["b"], flat["e"]) - (math.log(flat["b"]) if flat["b"] else 0.0)
+        found.append((flat["entropy"] - flat_prior + length, i, [blocks, *levels]))
+    length, _, levels = min(found, key=lambda x: x[:2])
+    return levels, length

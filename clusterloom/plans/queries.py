@@ -133,6 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "leiden_mod": lambda s, d: localmove.local_move(copart(s, d), "mod"),
         "leiden_cpm": lambda s, d: localmove.local_move(copart(s, d), "cpm", 0.1),
         "cm_refine": lambda s, d: localmove.modified_clusters(copart(s, d), _component_clustering(copart(s, d)), "0.2n^0.5"),
+        "cm_after_cpm": lambda s, d: localmove.modified_clusters(copart(s, d), localmove.local_move(copart(s, d), "cpm", 0.1), "0.2n^0.5", "cpm", 0.1),
         "cluster_cuts": lambda s, d: refine.cluster_cuts(copart(s, d), _component_clustering(copart(s, d))),
         "ami": lambda s, d: measures.adjusted_information(by_brand(s, d), by_brand(s, d).withColumn("cluster_id", F.expr("(cluster_id + node_id % 2) % 20"))),
         "size_distribution": lambda s, d: measures.size_distribution(_component_clustering(copart(s, d))),
@@ -142,6 +143,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sbm_entropy_ndc": lambda s, d: _entropy(s, d, "ndc"),
         "sbm_entropy_pp": lambda s, d: _entropy(s, d, "pp"),
         "sbm_flat_best": lambda s, d: blockmodel.best_blocks(copart(s, d))[1],
+        "sbm_nested_dc": lambda s, d: blockmodel.nested_blocks(copart(s, d), "dc")[0][0],
+        "accuracy": lambda s, d: measures.accuracy(graph.nodes(copart(s, d)), by_brand(s, d), _component_clustering(copart(s, d)).where("cluster_id % 3 <> 0")),
         "infomap": lambda s, d: localmove.local_move(copart(s, d), "infomap"),
     }
 
@@ -204,5 +207,14 @@ c AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n * ln(n)) AS hs, sum(n) AS N FROM t
 r AS (SELECT sum(n * (n - 1) / 2) AS ra, sum(n * ln(n)) AS ha FROM (SELECT sum(n)::DOUBLE AS n FROM t GROUP BY a)),
 q AS (SELECT sum(n * (n - 1) / 2) AS cb, sum(n * ln(n)) AS hb FROM (SELECT sum(n)::DOUBLE AS n FROM t GROUP BY b))
 SELECT N::BIGINT AS nodes, round((s - ra * cb / (N * (N - 1) / 2)) / ((ra + cb) / 2 - ra * cb / (N * (N - 1) / 2)), 6) AS ari,
-round(2 * (ln(N) + (hs - ha - hb) / N) / (2 * ln(N) - (ha + hb) / N), 6) AS nmi, round(s / cb, 6) AS precision, round(s / ra, 6) AS recall, round(2 * s / (ra + cb), 6) AS f1 FROM c, r, q""",
+round(2 * (ln(N) + (hs - ha - hb) / N) / (2 * ln(N) - (ha + hb) / N), 6) AS nmi, round(s / cb, 6) AS precision, round(s / ra, 6) AS recall, round(2 * s / (ra + cb), 6) AS f1,
+round((cb - s) / (N * (N - 1) / 2 - ra), 6) AS fpr, round(1 - s / ra, 6) AS fnr FROM c, r, q""",
+        "accuracy": f"""{comp}, l AS (SELECT 'c' || p_size AS a, CASE WHEN component % 3 <> 0 THEN 'c' || component ELSE 'n' || node END AS b, component % 3 <> 0 AS known FROM c JOIN part ON p_partkey = node),
+t AS (SELECT 'singletons' AS policy, a, b, count(*) AS n FROM l GROUP BY ALL UNION ALL SELECT 'intersection', a, b, count(*) FROM l WHERE known GROUP BY ALL),
+z AS (SELECT policy, sum(n * (n - 1) / 2) AS s, sum(n * ln(n)) AS hs, sum(n) AS N FROM t GROUP BY policy),
+r AS (SELECT policy, sum(n * (n - 1) / 2) AS ra, sum(n * ln(n)) AS ha FROM (SELECT policy, sum(n)::DOUBLE AS n FROM t GROUP BY policy, a) GROUP BY policy),
+q AS (SELECT policy, sum(n * (n - 1) / 2) AS cb, sum(n * ln(n)) AS hb FROM (SELECT policy, sum(n)::DOUBLE AS n FROM t GROUP BY policy, b) GROUP BY policy)
+SELECT policy, N::BIGINT AS nodes, round((s - ra * cb / (N * (N - 1) / 2)) / ((ra + cb) / 2 - ra * cb / (N * (N - 1) / 2)), 6) AS ari,
+round(2 * (ln(N) + (hs - ha - hb) / N) / (2 * ln(N) - (ha + hb) / N), 6) AS nmi, round(s / cb, 6) AS precision, round(s / ra, 6) AS recall, round(2 * s / (ra + cb), 6) AS f1,
+round((cb - s) / (N * (N - 1) / 2 - ra), 6) AS fpr, round(1 - s / ra, 6) AS fnr FROM z JOIN r USING (policy) JOIN q USING (policy)""",
     }

@@ -138,6 +138,42 @@ def test_description_lengths(spark):
         blockmodel.description_length(triangle, one, "other")
 
 
+def test_nested_block_models(spark):
+    """Level 0 covers every node; the length is never above the flat one's by more than the top group's share."""
+    rng = random.Random(3)
+    pairs = [(f"{a:02}", f"{b:02}") for a in range(40) for b in range(a + 1, 40) if rng.random() < (0.9 if a // 5 == b // 5 else 0.3 if a // 10 == b // 10 else 0.02)]
+    edges = frame(spark, pairs)
+    tried = blockmodel.candidates(edges)
+    levels, length = blockmodel.nested_blocks(edges, "dc", tried=tried)
+    blocks, flat = blockmodel.fit_blocks(edges, "dc", tried=tried)
+    assert levels[0].select("node_id").distinct().count() == levels[0].count() == graph.nodes(edges).count()
+    assert length <= flat + math.log(blocks.select("cluster_id").distinct().count()) + 1e-9
+    counts = [x.select("cluster_id").distinct().count() for x in levels]
+    assert counts == sorted(counts, reverse=True)
+    with pytest.raises(ValueError):
+        blockmodel.nested_blocks(edges, "pp")
+
+
+def test_level_length_counts_multigraphs(spark):
+    """Two groups of two blocks with 2 edges inside the first, 1 across: C(4,2) = 6 loops or pairs, 4 places across."""
+    groups = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "y")], "node_id string, cluster_id string")
+    above = spark.createDataFrame([("x", "x", 2.0), ("x", "y", 1.0)], "src string, dst string, weight double")
+    b, length = blockmodel.level_length(groups, above)
+    partition = math.log(math.factorial(4) / (2 * 2)) + math.log(3) + math.log(4)
+    assert b == 2 and math.isclose(length, math.log(6) + math.log(4) + partition, rel_tol=1e-9)
+
+
+def test_accuracy_policies(spark):
+    """Truth {1,2,3},{4}; found {1,2}, rest unlabelled: singletons add the pairs that found misses."""
+    nodes = spark.createDataFrame([(x,) for x in "1234"], "node string")
+    truth = spark.createDataFrame([("1", 0), ("2", 0), ("3", 0), ("4", 1)], "node_id string, cluster_id long")
+    found = spark.createDataFrame([("1", 7), ("2", 7)], "node_id string, cluster_id long")
+    rows = {r["policy"]: r for r in measures.accuracy(nodes, truth, found).collect()}
+    assert (rows["intersection"]["nodes"], rows["intersection"]["recall"], rows["intersection"]["fnr"]) == (2, 1.0, 0.0)
+    assert (rows["singletons"]["nodes"], rows["singletons"]["precision"], rows["singletons"]["fpr"]) == (4, 1.0, 0.0)
+    assert math.isclose(rows["singletons"]["fnr"], 2 / 3, abs_tol=1e-6)
+
+
 def test_log_factorials(spark):
     got = spark.range(0, 400).select("id", log_factorial(F.col("id")).alias("x")).collect()
     assert all(r["x"] == pytest.approx(math.lgamma(r["id"] + 1), abs=1e-9) for r in got)
