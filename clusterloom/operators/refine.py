@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from clusterloom.operators.components import connected_components
 from clusterloom.operators.graph import dense_index
 from clusterloom.sources.edges import profile
+from clusterloom.sources.storage import stored
 
 _CRITERION = re.compile(r"^\s*([0-9.eE+-]+)?\s*(?:n\^([0-9.]+)|log_([0-9.]+)\(n\))?\s*$")
 
@@ -59,7 +60,10 @@ def connected_clusters(edges: DataFrame, clustering: DataFrame) -> DataFrame:
 
 
 def numbered(pieces: DataFrame) -> DataFrame:
-    """(node_id, piece) to dense cluster ids in the order of the pieces, without singletons."""
+    """(node_id, piece) to dense cluster ids in the order of the pieces, without singletons.
+
+    The pieces are written once: sizes, ranks and labels all read them, and a kernel stands behind them."""
+    pieces = stored(pieces)
     ids = dense_index(pieces.groupBy("piece").count().where("count > 1").select("piece"), ["piece"], "cluster_id")
     return pieces.join(ids, "piece").select("node_id", F.col("cluster_id").cast("long").alias("cluster_id"))
 
@@ -142,7 +146,7 @@ def well_connected_clusters(edges: DataFrame, clustering: DataFrame, criterion:
     Clusters are first split into components, which is all that criteria below one ask for: those never
     reach Python.  Of the others one task holds one cluster's edges.
     """
-    whole = connected_clusters(edges, clustering)
+    whole = stored(connected_clusters(edges, clustering))
     sizes = whole.groupBy("cluster_id").agg(criterion_column(criterion, F.count(F.lit(1))).alias("least"))
     ready = whole.join(sizes.where("least < 1").select("cluster_id"), "cluster_id", "left_semi")
     least = ready.groupBy("cluster_id").agg(F.min("node_id").alias("piece"))
