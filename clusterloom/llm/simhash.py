@@ -224,22 +224,6 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     return prints.join(known.select("fp", "root").join(roots, "root").select("fp", "component"), "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """Documents of which the id is the smallest of its component; rows that share that id stay once.
-    A document without an id goes by a hash of its text, above any usual id."""
-    key = "key"
-    while key in docs.columns:
-        key = f"_{key}"
-    keyed = docs.withColumn(key, F.coalesce(docs[id_col].cast("long"), F.shiftrightunsigned(F.xxhash64(docs[text_col]), 1)))
-    found = near_duplicate_components(keyed, key, text_col, **more)
-    kept = stored(found.where("id = component").groupBy(F.col("id").alias("kept_id")).agg(F.count(F.lit(1)).alias("rows")))
-    # Only ids that several rows share need the texts sorted; the others stream past a hash of narrow ids.
-    once, shared = kept.where("rows = 1").hint("shuffle_hash"), kept.where("rows > 1")
-    single = keyed.join(once, keyed[key] == once["kept_id"], "left_semi")
-    first = keyed.join(shared, keyed[key] == shared["kept_id"], "left_semi").dropDuplicates([key])
-    return single.unionByName(first).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
