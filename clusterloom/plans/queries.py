@@ -19,6 +19,14 @@ ORDERS_PARTS = "SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_
 LOOPED = "SELECT l_suppkey AS src, (l_partkey % 20) + 1 AS dst FROM lineitem WHERE l_quantity >= 48"
 
 
+#: The same graphs over all rows of the tables, for the queries named ``*_whole``.
+COPART_WHOLE = """SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
+ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey"""
+ORDERS_PARTS_WHOLE = "SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem"
+#: Queries that read no edges of ``lineitem``; they have no cut and no ``*_whole`` twin.
+NO_EDGES = ("singleton_filter", "dense_renumber", "removed_counts", "best_model", "criterion_eval", "agreement", "ami")
+
+
 def _items(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{d}/lineitem.parquet").select(*columns)
 
@@ -38,6 +46,21 @@ def looped(spark: SparkSession, d: str) -> DataFrame:
     return _items(spark, d, "l_suppkey", "l_partkey", "l_quantity").where("l_quantity >= 48").selectExpr("l_suppkey AS src", "l_partkey % 20 + 1 AS dst")
 
 
+def copart_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Parts bought together, over all rows."""
+    x = _items(spark, d, "l_orderkey", "l_partkey").where("l_orderkey IS NOT NULL").distinct()
+    pairs = x.withColumnRenamed("l_partkey", "src").join(x.withColumnRenamed("l_partkey", "dst"), "l_orderkey")
+    return pairs.where("src < dst").select("src", "dst").distinct()
+
+
+def supplied_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d, "l_suppkey", "l_partkey").selectExpr("l_suppkey AS src", "l_partkey AS dst")
+
+
+def looped_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d, "l_suppkey", "l_partkey").selectExpr("l_suppkey AS src", "l_partkey % 20 + 1 AS dst")
+
+
 def by_brand(spark: SparkSession, d: str) -> DataFrame:
     """A clustering of parts: the number in the brand."""
     return spark.read.parquet(f"{d}/part.parquet").selectExpr("p_partkey AS node_id", "CAST(p_size AS BIGINT) AS cluster_id")
@@ -58,9 +81,8 @@ def _component_clustering(edges: DataFrame) -> DataFrame:
     return connected_components(edges).select(F.col("node").alias("node_id"), F.col("component").alias("cluster_id"))
 
 
-def _k_valid(spark: SparkSession, d: str) -> DataFrame:
+def _k_valid(e: DataFrame) -> DataFrame:
     """Components of the innermost core, and whether every member has in+out degree of at least 2."""
-    e = copart(spark, d)
     cores = kcore.core_numbers(e)
     top = cores.agg(F.max("core")).first()[0]
     inner = graph.induced(e, cores.where(F.col("core") == top).select("node"))
@@ -68,8 +90,8 @@ def _k_valid(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(inner).join(both, "node").groupBy("component").agg(F.expr("bool_and(degree >= 2)").alias("valid"), F.count(F.lit(1)).alias("n"))
 
 
-def _entropy(spark: SparkSession, d: str, model: str) -> DataFrame:
-    found = blockmodel.description_length(copart(spark, d), by_brand(spark, d), model)
+def _entropy(edges: DataFrame, blocks: DataFrame, model: str) -> DataFrame:
+    found = blockmodel.description_length(edges, blocks, model)
     return found.withColumn("entropy", F.round("entropy", 4))
 
 
@@ -103,13 +125,19 @@ def cores_sql(edges: str, name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Each operator over the small filtered graphs, and as ``*_whole`` over all rows."""
+    whole = _queries(copart_whole, supplied_whole, looped_whole, "true")
+    return _queries(copart, supplied, looped, "l_quantity >= 48") | {f"{name}_whole": query for name, query in whole.items() if name not in NO_EDGES}
+
+
+def _queries(copart: Callable, supplied: Callable, looped: Callable, indexed: str) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "edge_multigraph": lambda s, d: profile(looped(s, d), "multigraph").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")),
         "edge_loopless": lambda s, d: profile(looped(s, d), "loopless_multi").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")),
         "edge_simple": lambda s, d: profile(looped(s, d), "simple").select("src", "dst"),
         "edge_accumulated": lambda s, d: profile(looped(s, d), "accumulated"),
         "node_set": lambda s, d: graph.nodes(supplied(s, d)),
-        "node_index": lambda s, d: graph.node_index(s.read.parquet(f"{d}/lineitem.parquet").where("l_quantity >= 48").selectExpr("l_suppkey AS src", "l_partkey AS dst", "l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber"),
+        "node_index": lambda s, d: graph.node_index(s.read.parquet(f"{d}/lineitem.parquet").where(indexed).selectExpr("l_suppkey AS src", "l_partkey AS dst", "l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber"),
         "degree_in_out": lambda s, d: graph.degrees(supplied(s, d)),
         "induced_subgraph": lambda s, d: graph.induced(copart(s, d), graph.nodes(copart(s, d)).where("node % 2 = 0")),
         "remove_nodes": lambda s, d: graph.removed(copart(s, d), graph.nodes(copart(s, d)).where("node % 3 = 0")),
@@ -119,7 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "connected_components": lambda s, d: connected_components(copart(s, d)),
         "component_sizes": lambda s, d: connected_components(copart(s, d)).groupBy("component").agg(F.count(F.lit(1)).alias("n")),
         "core_numbers": lambda s, d: kcore.core_numbers(copart(s, d)),
-        "k_valid": _k_valid,
+        "k_valid": lambda s, d: _k_valid(copart(s, d)),
         "ikc_k1": lambda s, d: kcore.iterative_k_core(copart(s, d), 1),
         "ikc_k2": lambda s, d: kcore.iterative_k_core(copart(s, d), 2),
         "best_model": lambda s, d: measures.best_model(s.createDataFrame([(0, "dc", 2.0), (1, "ndc", 1.0), (2, "pp", 1.0), (3, "bad", float("nan"))], "ord int, model string, entropy double")),
@@ -139,9 +167,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "size_distribution": lambda s, d: measures.size_distribution(_component_clustering(copart(s, d))),
         "cpm_score": lambda s, d: measures.cpm_score(copart(s, d), by_brand(s, d), 0.1),
         "large_components": lambda s, d: connected_components(copart(s, d)).groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 10"),
-        "sbm_entropy_dc": lambda s, d: _entropy(s, d, "dc"),
-        "sbm_entropy_ndc": lambda s, d: _entropy(s, d, "ndc"),
-        "sbm_entropy_pp": lambda s, d: _entropy(s, d, "pp"),
+        "sbm_entropy_dc": lambda s, d: _entropy(copart(s, d), by_brand(s, d), "dc"),
+        "sbm_entropy_ndc": lambda s, d: _entropy(copart(s, d), by_brand(s, d), "ndc"),
+        "sbm_entropy_pp": lambda s, d: _entropy(copart(s, d), by_brand(s, d), "pp"),
         "sbm_flat_best": lambda s, d: blockmodel.best_blocks(copart(s, d))[1],
         "sbm_nested_dc": lambda s, d: blockmodel.nested_blocks(copart(s, d), "dc")[0][0],
         "accuracy": lambda s, d: measures.accuracy(graph.nodes(copart(s, d)), by_brand(s, d), _component_clustering(copart(s, d)).where("cluster_id % 3 <> 0")),
@@ -152,7 +180,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _SIMPLE = "(SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst FROM ({}) WHERE src <> dst)"
 
 
+def _whole_sql(sql: str) -> str:
+    """A query's SQL over all rows."""
+    return sql.replace(COPART, COPART_WHOLE).replace(ORDERS_PARTS, ORDERS_PARTS_WHOLE).replace(" WHERE l_quantity >= 48", "")
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _oracle_sql()
+    return found | {f"{name}_whole": _whole_sql(sql) for name, sql in found.items() if name not in NO_EDGES}
+
+
+def _oracle_sql() -> dict[str, str]:
     comp = components_sql(COPART)
     nodes = "(SELECT src AS node FROM e UNION SELECT dst FROM e)"
     regroup = "(SELECT node_id, (cluster_id + node_id % 2) % 20 AS b FROM ({}))".format(BY_BRAND)
