@@ -1,12 +1,15 @@
 """The corpus operators against brute force, on small tables with nulls, ties, copies and odd columns."""
 
 import hashlib
+import pickle
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -55,32 +58,86 @@ def test_pii_beliefs_follow_the_votes():
     assert belief[0] > 0.9 > 0.1 > belief[1]
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_repeats(spark, nothing, hot):
-    rng = np.random.default_rng(5)
-    passages = [bytes(rng.integers(97, 100, int(rng.integers(150, 400)), dtype=np.uint8)) for _ in range(6)]
-    texts = [b"".join(passages[rng.integers(0, 6)][int(rng.integers(0, 60)) :] for _ in range(int(rng.integers(0, 4)))) for _ in range(30)] + [b"a" * 500, b"", "é".encode() * 150]
-    rows = [(i, t.decode()) for i, t in enumerate(texts)] + [(5, texts[5].decode()), (77, None)]
+def kept_by_brute_force(texts):
+    """(bytes, removed bytes, spans, hash of the rest) of each text, from a count of all windows."""
     count = {}
-    for _, t in rows:
-        t = (t or "").encode()
+    for t in texts:
         for p in range(len(t) - 199):
             count[t[p : p + 200]] = count.get(t[p : p + 200], 0) + 1
     want = []
-    for i, t in rows:
-        t = (t or "").encode()
-        covered = np.zeros(len(t) + 1, bool)
+    for t in texts:
+        covered = np.zeros(len(t) + 2, bool)
         for p in range(len(t) - 199):
             if count[t[p : p + 200]] > 1:
-                covered[p : p + 200] = True
-        kept = np.frombuffer(t, np.uint8)[~covered[: len(t)]].tobytes()
-        want.append((i, len(t), int(covered.sum()), hashlib.sha256(kept).hexdigest()))
-    got = repeats.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot)
-    got = [(r["id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), r["kept_sha256"]) for r in got.collect()]
-    assert sorted(got) == sorted(want)
+                covered[p + 1 : p + 201] = True
+        spans = int((covered[1:] & ~covered[:-1]).sum())
+        covered = covered[1:-1]
+        want.append((len(t), int(covered.sum()), spans, hashlib.sha256(np.frombuffer(t, np.uint8)[~covered].tobytes()).hexdigest()))
+    return want
+
+
+def passages(seed=5):
+    rng = np.random.default_rng(seed)
+    some = [bytes(rng.integers(97, 100, int(rng.integers(150, 400)), dtype=np.uint8)) for _ in range(6)]
+    texts = [b"".join(some[rng.integers(0, 6)][int(rng.integers(0, 60)) :] for _ in range(int(rng.integers(0, 4)))) for _ in range(30)]
+    return [*texts, b"a" * 500, b"", "é".encode() * 150, b"ab" * 400, texts[5]]
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_repeats(spark, nothing, hot):
+    texts = passages()
+    rows = [(i % 34, t.decode()) for i, t in enumerate(texts)] + [(77, None)]
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, part string, `a.b` int").repartition(3)
+    got = [(r["id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in repeats.repeated_spans(docs, hot=hot).collect()]
+    assert sorted(got) == sorted((i, *w) for (i, _), w in zip(rows, kept_by_brute_force([(t or "").encode() for _, t in rows]), strict=True))
     assert repeats.repeated_spans(nothing).count() == 0
 
 
+def spans_in_one_part(texts, hot):
+    """The operator's steps without Spark, all texts in one part and one task."""
+    columns = []
+    for a in repeats._chunks(texts):
+        columns.append((a.gram, *repeats._halves(a.contexts(np.arange(len(a.at)))), np.zeros(len(a.at), np.int64), np.ones(len(a.at), np.int64)))
+    gram, c0, c1, part, times = (np.concatenate(x) for x in zip(*columns, strict=True))
+    grams, contexts, total = repeats.gram_counts(gram, c0, c1, times)
+    kinds = {int(g): 0 if n < 2 else repeats.WINDOWS if n > hot else repeats.SHIP for g, n, t in zip(grams, contexts, total, strict=True) if t > 1}
+    judged = [pickle.dumps([c for c in repeats.judge(gram, c0, c1, part, times, kinds)[1:]])]
+    sent = list(repeats._contexts(texts, 0, judged, 1))
+    solved = repeats._solved([k for k, _, _ in sent], [p for _, _, p in sent])
+    return repeats._spans(texts, judged, [p for _, p in solved])
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("chunk", [1 << 20, 700])
+@pytest.mark.parametrize("weak", [False, True])
+def test_repeats_in_pieces_and_with_clashing_hashes(monkeypatch, hot, chunk, weak):
+    """Long texts are cut into pieces; unlike grams share a hash; neither may add or lose a removed byte."""
+    monkeypatch.setattr(repeats, "CHUNK", chunk)
+    if weak:
+        monkeypatch.setattr(repeats, "_mix", lambda h: ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(60)) << np.uint64(60))
+    rng = np.random.default_rng(8)
+    texts = passages(6)
+    texts += [b"".join([texts[k] for k in rng.integers(0, 30, 40)]), bytes(rng.integers(97, 123, 5000, dtype=np.uint8))]
+    for t, s, want in zip(texts, spans_in_one_part(texts, hot), kept_by_brute_force(texts), strict=True):
+        assert (len(t), sum(y - x for x, y in s), len(s)) == want[:3]
+
+
+def test_maximal_groups_are_those_of_all_pairs():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        n = int(rng.integers(2, 14))
+        before = [bytes(rng.integers(97, 99, int(rng.integers(0, 6)), dtype=np.uint8)) for _ in range(n)]
+        after = [b"GG" + bytes(rng.integers(97, 99, int(rng.integers(0, 6)), dtype=np.uint8)) for _ in range(n)]
+        want = set()
+        for i in range(n):
+            for j in range(i):
+                left, right = repeats._common(before[i], before[j]), repeats._common(after[i], after[j])
+                if left + right >= 4:
+                    want.add((left, right, tuple(k for k in range(n) if before[k][:left] == before[i][:left] and len(before[k]) >= left and after[k][:right] == after[i][:right] and len(after[k]) >= right)))
+        got = [(x, y, tuple(sorted(g))) for x, y, g in repeats.maximal_groups(before, after, 4)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_shards_round_trip(spark, docs, nothing, tmp_path):
     store = sharding.shard_documents(docs, str(tmp_path / "a"), target=1 << 20)
     assert sorted(map(str, store.read().collect())) == sorted(map(str, docs.collect()))
@@ -127,11 +184,14 @@ def test_token_files(spark, docs, rows, nothing, tmp_path):
     path = tokens.tokenizer_file()
     odd = ["<|endoftext|> a", "don't\x85stop\x1cnow 12", "İstanbul ǅ ﬁ", "é é ̈x", "a\r\nb\tc"]
     tokenizer = tokens.WordTokenizer(path)
-    whole = lambda t: np.array([*tokenizer.tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
-    for t, got in zip(odd, tokenizer.encode(odd), strict=True):
+    library = Tokenizer.from_file(path)
+    whole = lambda t: np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
+    for t, got in zip(odd, tokenizer.encode(pa.array(odd)).to_pylist(), strict=True):
         assert np.frombuffer(got, "<u2").tolist() == whole(t).tolist()
     tokens.write_tokens(docs, str(tmp_path / "t"), path)
-    got = [(r["id"], r["n_tokens"], r["ids_crc32"]) for r in tokens.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()]
+    read = tokens.read_tokens(spark, str(tmp_path / "t")).orderBy("start").collect()
+    assert [r["start"] for r in read] == np.cumsum([0, *(r["n_tokens"] for r in read[:-1])]).tolist()
+    got = [(r["id"], r["n_tokens"], r["ids_crc32"]) for r in read]
     key = lambda x: (x[0] is not None, x)
     want = [(r[0], len(whole(r[1] or "")), zlib.crc32(whole(r[1] or "").tobytes())) for r in rows]
     assert sorted(got, key=key) == sorted(want, key=key) and [g[0] for g in got][1:] == sorted(g[0] for g in got if g[0] is not None)
@@ -139,6 +199,33 @@ def test_token_files(spark, docs, rows, nothing, tmp_path):
     assert tokens.read_tokens(spark, str(tmp_path / "e")).count() == 0
 
 
+@pytest.mark.parametrize("together", [8 << 20, 64])
+def test_tokenizer_is_the_library(monkeypatch, together):
+    """Random texts of the awkward: contractions, marks, special tokens, other scripts, blanks of all kinds."""
+    monkeypatch.setattr(tokens, "TOGETHER", together)
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 500)
+    library, own = Tokenizer.from_file(tokens.tokenizer_file()), tokens.WordTokenizer(tokens.tokenizer_file())
+    parts = "' s t re ve ll m d 1 é É İ Σ ς ﬁ ǅ <|endoftext|> <| |> endoftext a B ! . 😀 𝒳 中 한 가 ́ ½ Ⅷ _ K ſ ÿ 𐐀".split(" ")
+    parts += [" ", "\n", "\t", "\r\n", "\x85", "\xa0", "\u3000", "\x1c", "\x0b", "\x00", "\u200b", " \u0308"]
+    rng = np.random.default_rng(9)
+    for _ in range(4):
+        texts = ["".join(rng.choice(parts, int(rng.integers(0, 40)))) for _ in range(800)]
+        for t, got in zip(texts, own.encode(pa.array(texts)).to_pylist(), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == [*library.encode(t, add_special_tokens=False).ids, 1], t
+
+
+def test_long_blocks_are_coded_piecewise(monkeypatch):
+    monkeypatch.setattr(huffman, "TOGETHER", 512)
+    rng = np.random.default_rng(6)
+    ids = rng.choice(900, 5000, p=np.arange(1, 901) / np.arange(1, 901).sum())
+    lengths = huffman.code_lengths(np.bincount(ids, minlength=900))
+    bits, at = huffman.encode(ids, huffman.canonical_codes(lengths), lengths)
+    monkeypatch.setattr(huffman, "TOGETHER", 1 << 18)
+    assert (bits, at.tolist()) == ((x := huffman.encode(ids, huffman.canonical_codes(lengths), lengths))[0], x[1].tolist())
+    monkeypatch.setattr(huffman, "TOGETHER", 512)
+    assert all((x == y).all() for x, y in zip(huffman.decode([(bits, at, 5000), (b"", [], 0), (bits, at, 5000)], huffman.decode_table(lengths)), [ids, ids[:0], ids], strict=True))
+
+
 def test_simhash(spark, docs, rows, nothing):
     got = simhash.near_duplicate_components(docs).collect()
     assert len(got) == len(rows)
