@@ -112,6 +112,30 @@ def mark(texts: list[bytes], windows: Windows) -> tuple[list[list[tuple[int, int
     return spans, items, counts
 
 
+def _pieces(text: bytes, size: int, most: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first word, words before that one that are repeated, bytes) of pieces of about ``most`` bytes; windows
+    across a cut stand whole in the later piece."""
+    flat, at, done, tail = text.translate(ALNUM), 0, 0, []
+    while at < len(flat):
+        end = flat.find(b" ", at + most) if at + most < len(flat) else -1
+        end = len(flat) if end < 0 else end
+        words = flat[at:end].split()
+        yield done, len(tail), b" ".join([*tail, *words])
+        done, tail, at = done + len(words), [*tail, *words][-(size - 1) :] if size > 1 else [], end
+
+
+def mark_long(text: bytes, windows: Windows, most: int) -> tuple[list[tuple[int, int]], list[str], int]:
+    """``mark`` of one text in pieces, for texts that no shard should hold whole."""
+    size = windows.symbols.shape[1]
+    spans, items, total = [], set(), 0
+    for first, again, piece in _pieces(text, size, most):
+        found, names, n = mark([piece], windows)
+        spans += [(a + first - again, b + first - again) for a, b in found[0]]
+        items.update(names[0])
+        total = first + int(n[0]) - again
+    return _merged(spans), sorted(items), total
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -133,7 +157,11 @@ def _marked_batches(batches: Iterator[pa.RecordBatch], block, text_at: int) -> I
             while last < len(texts) and (last == first or held + len(texts[last]) // 2 <= SHARD_WORDS):
                 held += len(texts[last]) // 2
                 last += 1
-            spans, items, counts = mark(texts[first:last], windows)
+            if last == first + 1 and len(texts[first]) > 2 * SHARD_WORDS:
+                span, names, n = mark_long(texts[first], windows, 2 * SHARD_WORDS)
+                spans, items, counts = [span], [names], np.array([n], np.int64)
+            else:
+                spans, items, counts = mark(texts[first:last], windows)
             before = batch.slice(first, last - first)
             if batch.num_columns > 1:  # a later block: add to what earlier ones found
                 old = before.column(1).to_pylist()
@@ -162,7 +190,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     """(row, spans, items, n_words): each document's columns as a struct, merged spans of hit words
     (end exclusive), names of the items with a window in it, and its number of words."""
     bound_batches(docs.sparkSession)
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = docs.select(F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("row"))
     kind = out.schema["row"].dataType.simpleString() if all(re.fullmatch(r"\w+", c) for c in docs.columns) else None
     at = docs.columns.index(text_col)
     schema = f"row {kind}, {MARKS}" if kind else out.withColumns({n: F.lit(None).cast(t) for n, t in (("spans", "array<struct<start:int,end:int>>"), ("items", "array<string>"), ("n_words", "long"))}).schema
@@ -187,9 +215,6 @@ def _without(text: str | None, spans) -> str | None:
     return b"".join([*out, data[last:]]).decode()
 
 
-
-
-
 def _cut_batches(batches: Iterator[pa.RecordBatch], text_at: int, chars_at: int | None) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         row = batch.column(0)

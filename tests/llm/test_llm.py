@@ -409,6 +409,30 @@ def test_decontamination(spark, docs, rows, nothing):
     assert decontaminate.marked(nothing, benchmark).count() == 0 and decontaminate.marked(docs, benchmark.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_long_text_is_marked_in_pieces():
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(30)]
+    text = " ,".join(rng.choice(words, 4000)).encode()
+    parts = text.decode().replace(",", "").split()
+    items = [(str(i), " ".join(parts[a : a + 14]).encode()) for i, a in enumerate(rng.integers(0, 3980, 25))] + [("s", b"W3 w4"), ("one", b"w7")]
+    windows = decontaminate.Windows(items)
+    spans, names, counts = decontaminate.mark([text], windows)
+    for most in (50, 333, 5000):
+        assert decontaminate.mark_long(text, windows, most) == (decontaminate._merged(spans[0]), names[0], int(counts[0]))
+
+
+def test_dotted_and_clashing_columns_travel(spark):
+    rows = [(i, f"alpha beta gamma {i % 3} " * 12, f"s{i % 2}", 5, "x", 1) for i in range(40)] + [(None, "a b c", None, 1, "y", 2), (None, "d e", None, 1, "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` int, shard string, row int").repartition(2)
+    benchmark = spark.createDataFrame([(1, "alpha beta gamma 0 alpha beta gamma 0 alpha beta")], "item_id long, text string")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+    clean = decontaminate.decontaminate(docs, benchmark)
+    assert clean.columns == docs.columns and clean.count() == 42 and clean.where("text like '%alpha beta gamma 0%'").count() == 0
+    sharded = corpus_pipeline.shard(spark, docs, "")
+    assert sharded.columns == [*docs.columns, "_shard"] and sharded.where("shard in ('x', 'y')").count() == 42
+
+
 def test_pipeline_stages_keep_their_promises(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
