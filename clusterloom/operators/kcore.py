@@ -1,4 +1,4 @@
-"""Core numbers by h-index rounds, and iterative k-core clustering on top of them."""
+"""Core numbers by h-index rounds, with trees and chains folded where rounds are many; iterative k-core clustering."""
 
 from __future__ import annotations
 
@@ -11,32 +11,88 @@ from clusterloom.sources.edges import profile
 from clusterloom.sources.storage import stored
 
 
-def core_numbers(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(node, core) with in+out degree, parallel edges counted, loops ignored.
+#: Rounds after which trees and chains are folded: a value crosses one link a round.
+PATIENCE = 30
 
-    Values start at the degree; each round a node takes the h-index of its neighbours' values.  The
-    neighbours of a node are counted by value before they are ranked, so a hub's list is no longer
-    than the values that occur around it.
-    """
-    every = nodes(edges)
-    links = stored(adjacency(edges.where("src <> dst")))
+
+def _h_index(links: DataFrame, rounds: int | None = None) -> DataFrame | None:
+    """(node, core) of (u, v) links in both directions, or None if ``rounds`` are not enough.
+
+    Values start at the degree, and each round a node takes
+    the h-index of its neighbours' values, until none falls.  Neighbours are counted by value before they
+    are ranked, so a hub's list is no longer than the values that occur around it."""
     state = stored(links.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("core")))
-    for _ in range(max_rounds):
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         seen = links.join(state.select(F.col("node").alias("v"), "core"), "v").groupBy("u", "core").agg(F.count(F.lit(1)).alias("n"))
         at_least = F.sum("n").over(Window.partitionBy("u").orderBy(F.desc("core")))
         h = seen.withColumn("reach", F.least(at_least, F.col("core"))).groupBy(F.col("u").alias("node")).agg(F.max("reach").alias("new"))
         nxt = stored(state.join(h, "node").select("node", F.least("core", "new").alias("core"), (F.col("new") < F.col("core")).alias("moved")))
-        moved = nxt.where("moved").limit(1).count()
+        settled = nxt.where("moved").isEmpty()
         state = nxt.select("node", "core")
-        if not moved:
-            return every.join(state, "node", "left").select("node", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
-    raise RuntimeError("core numbers did not settle")
+        if settled:
+            return state
+    return None
+
+
+def _folded(links: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """Links whose nodes all have two or more, and no two nodes of degree two side by side.
+
+    Leaves go, and a chain of nodes of degree two becomes its smallest node, until neither is left; trees and
+    long paths so take rounds by the logarithm of their size.  Also returned: (node, rep) of chains,
+    one table for each round, and (node, core) of the cycles that chains closed to."""
+    chains: list[DataFrame] = []
+    cycles: list[DataFrame] = []
+    while True:
+        degree = stored(links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n <= 2"))
+        two = degree.where("n = 2").select("u")
+        pairs = stored(links.join(two, "u", "left_semi").join(two.select(F.col("u").alias("v")), "v", "left_semi").select("u", "v"))
+        leaves = degree.where("n = 1").select("u")
+        chained, leafy = not pairs.isEmpty(), not leaves.isEmpty()
+        if not chained and not leafy:
+            return links, chains, cycles
+        if chained:
+            parts = stored(connected_components(pairs, "u", "v"))
+            inner = pairs.join(parts.select(F.col("node").alias("u"), "component"), "u").groupBy("component").agg(F.count(F.lit(1)).alias("links"))
+            whole = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).join(inner, "component").where("links = 2 * n").select("component")
+            cycles.append(parts.join(whole, "component").select("node", F.lit(2).cast("long").alias("core")))
+            chains.append(parts.where("node <> component").join(whole, "component", "left_anti").select("node", F.col("component").alias("rep")))
+            a = parts.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+            b = parts.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+            both = links.join(a, "u", "left").join(b, "v", "left").where("cu IS NULL OR cv IS NULL OR cu <> cv")
+            links = both.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+        if leafy:
+            links = links.join(leaves, "u", "left_anti").join(leaves.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v")
+        links = stored(links)
+
+
+def core_numbers(edges: DataFrame) -> DataFrame:
+    """(node, core) with in+out degree, parallel edges counted, loops ignored.
+
+    Where ``PATIENCE`` rounds do not settle the values, trees and chains are folded first: what that removes has core 1,
+    a chain that stays has its representative's core (2 at most, for it has two links).  Both ways give the same cores."""
+    every = nodes(edges)
+    links = stored(adjacency(edges.where("src <> dst")))
+    cores = _h_index(links, PATIENCE)
+    if cores is None:
+        rest, chains, cycles = _folded(links)
+        cores = _h_index(rest)
+        for part in cycles:
+            cores = cores.unionByName(part)
+        for rep in reversed(chains):
+            cores = stored(cores)
+            cores = cores.unionByName(rep.join(cores.withColumnRenamed("node", "rep"), "rep").select("node", "core"))
+    linked = links.select(F.col("u").alias("node"), F.lit(1).alias("one")).distinct()
+    known = every.join(stored(cores), "node", "left").join(linked, "node", "left")
+    return known.select("node", F.coalesce("core", "one", F.lit(0)).cast("long").alias("core"))
 
 
-def iterative_k_core(edges: DataFrame, k: int = 0) -> DataFrame:
+def iterative_k_core(edges: DataFrame, k: int = 0, index: DataFrame | None = None) -> DataFrame:
     """(node_id, cluster_id, k): components of the innermost core, taken off, until cores fall below k.
 
-    Clusters are numbered by core number downwards, then by smallest node; singletons are dropped.
+    Clusters are numbered by core number downwards, then by the first node of ``index`` (node, idx; as
+    ``graph.node_index`` makes it from an edge list's order), without one by smallest node; singletons are dropped.
     """
     left = stored(profile(edges, "loopless_multi").select("src", "dst"))
     found = None
@@ -53,5 +109,7 @@ def iterative_k_core(edges: DataFrame, k: int = 0) -> DataFrame:
         kind = edges.schema["src"].dataType.simpleString()
         return edges.sparkSession.createDataFrame([], f"node_id {kind}, cluster_id long, k int")
     found = stored(found)
-    ids = dense_index(found.groupBy("component", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("down", -F.col("k")), ["down", "component"], "cluster_id")
+    placed = found.withColumn("at", F.col("component")) if index is None else found.join(index.select("node", F.col("idx").alias("at")), "node")
+    groups = placed.groupBy("component", "k").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at")).where("n > 1").withColumn("down", -F.col("k"))
+    ids = dense_index(groups, ["down", "at"], "cluster_id")
     return found.join(ids.select("component", "cluster_id"), "component").select(F.col("node").alias("node_id"), F.col("cluster_id").cast("long").alias("cluster_id"), "k")

@@ -25,6 +25,8 @@ ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey"""
 ORDERS_PARTS_WHOLE = "SELECT l_suppkey AS src, l_partkey AS dst FROM lineitem"
 #: Queries that read no edges of ``lineitem``; they have no cut and no ``*_whole`` twin.
 NO_EDGES = ("singleton_filter", "dense_renumber", "removed_counts", "best_model", "criterion_eval", "agreement", "ami")
+#: Queries whose SQL is unrolled or lists subsets, so that it states the filtered graphs only.
+SMALL_SQL = ("k_valid", "ikc_k1", "ikc_k2", "cluster_cuts")
 
 
 def _items(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -124,6 +126,40 @@ def cores_sql(edges: str, name: str) -> str:
   JOIN recurring.{name} o ON o.node = h.u, (SELECT count(*) AS changed FROM {name}) WHERE h.core < o.core AND changed > 0)"""
 
 
+def ikc_sql(k: int, levels: int = 6) -> str:
+    """Iterative k-core with ``levels`` unrolled levels, more than the filtered graph has."""
+    parts = [f"e0 AS ({COPART})"]
+    for i in range(1, levels + 1):
+        parts.append(cores_sql(f"e{i - 1}", f"c{i}"))
+        parts.append(f"""t{i} AS (SELECT node FROM c{i} WHERE core = (SELECT max(core) FROM c{i}) AND core >= {max(k, 1)}),
+i{i} AS (SELECT src AS u, dst AS v FROM e{i - 1} WHERE src IN (FROM t{i}) AND dst IN (FROM t{i})), d{i} AS (SELECT u, v FROM i{i} UNION SELECT v, u FROM i{i}),
+p{i}(node, component) USING KEY (node) AS (SELECT DISTINCT u, u FROM d{i}
+  UNION SELECT x.node, x.component FROM (SELECT d.u AS node, min(p.component) AS component FROM p{i} p JOIN d{i} d ON d.v = p.node GROUP BY d.u) x
+  JOIN recurring.p{i} o ON o.node = x.node WHERE x.component < o.component),
+e{i} AS (SELECT * FROM e{i - 1} WHERE EXISTS (FROM t{i}) AND src NOT IN (FROM t{i}) AND dst NOT IN (FROM t{i}))""")
+    every = " UNION ALL ".join(f"SELECT node, component, (SELECT max(core) FROM c{i})::INTEGER AS k FROM p{i}" for i in range(1, levels + 1))
+    return "WITH RECURSIVE " + ",\n".join(parts) + f""" SELECT node AS node_id, dense_rank() OVER (ORDER BY -k, component) - 1 AS cluster_id, k FROM ({every})"""
+
+
+def k_valid_sql() -> str:
+    """Components of the innermost core, with the least degree in it compared to 2."""
+    one = ikc_sql(1, 1).rpartition(" SELECT node AS node_id")[0]
+    return f"""{one}, g AS (SELECT u, count(*) AS degree FROM (SELECT u FROM i1 UNION ALL SELECT v FROM i1) GROUP BY u)
+SELECT component, min(degree) >= 2 AS valid, count(*) AS n FROM p1 JOIN g ON u = node GROUP BY component"""
+
+
+def cluster_cuts_sql() -> str:
+    """The least cut of each component over all subsets of its nodes; for components of a few nodes only."""
+    return f"""{components_sql(COPART)},
+b0 AS (SELECT node, component, row_number() OVER (PARTITION BY component ORDER BY node) - 1 AS bit FROM c),
+s AS (SELECT component, count(*) AS n FROM c GROUP BY component),
+m AS (SELECT component, unnest(range(1, 1::BIGINT << (n - 1)::BIGINT)) AS mask FROM s),
+x AS (SELECT a.component, a.bit AS ba, z.bit AS bz FROM e JOIN b0 a ON a.node = src JOIN b0 z ON z.node = dst),
+k AS (SELECT m.component, m.mask, count(*) FILTER ((mask >> ba) & 1 <> (mask >> bz) & 1) AS cut FROM m JOIN x USING (component) GROUP BY ALL),
+r AS (SELECT component, min(cut)::DOUBLE AS min_cut FROM k GROUP BY component)
+SELECT component AS cluster_id, n, min_cut, round(min_cut / log10(n), 6) AS cut_log, round(min_cut / sqrt(n), 6) AS cut_sqrt FROM s JOIN r USING (component)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator over the small filtered graphs, and as ``*_whole`` over all rows."""
     whole = _queries(copart_whole, supplied_whole, looped_whole, "true")
@@ -187,7 +223,7 @@ def _whole_sql(sql: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     found = _oracle_sql()
-    return found | {f"{name}_whole": _whole_sql(sql) for name, sql in found.items() if name not in NO_EDGES}
+    return found | {f"{name}_whole": _whole_sql(sql) for name, sql in found.items() if name not in (*NO_EDGES, *SMALL_SQL)}
 
 
 def _oracle_sql() -> dict[str, str]:
@@ -226,6 +262,10 @@ x AS (SELECT t.*, coalesce(volume, 0) AS volume, coalesce(ends_in, 0) AS ends_in
 SELECT cluster_id, n, ends_in // 2 AS m_in, volume - ends_in AS boundary, volume, round(CASE WHEN n > 1 THEN 2 * (ends_in // 2) / (n * (n - 1)) ELSE 0 END, 6) AS density,
 round(CASE WHEN least(volume, 2 * m - volume) > 0 THEN (volume - ends_in) / least(volume, 2 * m - volume) ELSE 0 END, 6) AS conductance,
 round((ends_in // 2) / m - pow(volume / (2 * m), 2), 6) AS modularity FROM x""",
+        "k_valid": k_valid_sql(),
+        "ikc_k1": ikc_sql(1),
+        "ikc_k2": ikc_sql(2),
+        "cluster_cuts": cluster_cuts_sql(),
         "core_numbers": f"WITH RECURSIVE e AS ({COPART}), {cores_sql('e', 'c')} SELECT node, core FROM c",
         "large_components": f"{comp} SELECT component, count(*) AS n FROM c GROUP BY component HAVING count(*) > 10",
         "size_distribution": f"{comp} SELECT count(*) AS clusters, min(n) AS least, round(median(n), 6) AS median, round(avg(n), 6) AS mean, max(n) AS most FROM (SELECT count(*) AS n FROM c GROUP BY component)",

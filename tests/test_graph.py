@@ -217,3 +217,44 @@ def test_empty_graph(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert connected_components(none).count() == 0 and kcore.core_numbers(none).count() == 0
     assert kcore.iterative_k_core(none, 1).select(F.count("*")).first()[0] == 0
+
+
+def plain_cores(pairs):
+    """Core numbers of a multigraph by taking off the node of least degree, again and again."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []), near.setdefault(b, [])
+        if a != b:
+            near[a].append(b), near[b].append(a)
+    core, k, left = {}, 0, dict(near)
+    degree = {v: len(n) for v, n in near.items()}
+    while left:
+        v = min(left, key=degree.get)
+        k = max(k, degree[v])
+        core[v] = k
+        for u in left.pop(v):
+            degree[u] -= u in left
+    return core
+
+
+def test_folding_keeps_core_numbers(spark, monkeypatch):
+    """Trees, chains, rings, double edges and denser parts; folding from the first round on."""
+    monkeypatch.setattr(kcore, "PATIENCE", 1)
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(1, 60)] + [(100 + i, 100 + (i + 1) % 9) for i in range(9)] + [(200, 201), (200, 201), (300, 300), (400, 401)]
+    pairs += [(500 + i, 500 + rng.randrange(max(1, i))) for i in range(1, 40)] + [(5, 300), (20, 500), (30, 31)]
+    pairs += [(600 + rng.randrange(25), 600 + rng.randrange(25)) for _ in range(60)]
+    got = kcore.core_numbers(spark.createDataFrame(pairs, "src long, dst long"))
+    assert {r["node"]: r["core"] for r in got.collect()} == plain_cores(pairs)
+
+
+def test_cores_of_a_long_path(spark):
+    path = spark.range(5000).selectExpr("id AS src", "id + 1 AS dst")
+    assert kcore.core_numbers(path).groupBy("core").count().collect() == [(1, 5001)]
+
+
+def test_clusters_are_numbered_by_first_appearance(spark):
+    triangles = [(9, 8), (8, 7), (9, 7), (1, 2), (2, 3), (1, 3)]
+    edges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(triangles)], "row int, src long, dst long")
+    got = kcore.iterative_k_core(edges, 1, graph.node_index(edges, "row"))
+    assert {r["node_id"]: r["cluster_id"] for r in got.collect()} == {9: 0, 8: 0, 7: 0, 1: 1, 2: 1, 3: 1}
