@@ -37,6 +37,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--synthetic", action="store_true")
     p.add_argument("--criterion", default="")
     p.add_argument("--seed", type=int, default=1234)
+    p.add_argument("--weighted", action="store_true", help="the third column of the edge list is a weight")
+    p.add_argument("--n-iterations", type=int, default=2, help="runs of Leiden, each from the one before; below one: until nothing changes")
     p.add_argument("--timeout", type=seconds, default=WEEK)
     for flag in ("stats", "acc", "cc", "wcc", "cm"):
         p.add_argument(f"--run-{flag}", action="store_true")
@@ -49,7 +51,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     parse_algorithm(a.algo)  # before any job
     found = routes(edges=a.input_edgelist, out_dir=a.output_dir, real=a.real, synthetic=a.synthetic, network=a.network, generator=a.generator, gt_id=a.gt_clustering_id, run_id=a.run_id, truth=a.input_gt_clustering)
     refinements = tuple(r for r in ("cc", "wcc", "cm") if getattr(a, f"run_{r}"))
-    settings = Settings(a.run_stats, a.run_acc, refinements, a.criterion, a.seed, a.timeout)
+    settings = Settings(a.run_stats, a.run_acc, refinements, a.criterion, a.seed, a.timeout, a.weighted, a.n_iterations)
     report = Runner(spark or SparkSession.builder.appName("clusterloom").getOrCreate(), found, settings).run(a.algo)
     for folder, state in report.steps.items():
         print(f"{state}\t{folder}")

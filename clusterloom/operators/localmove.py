@@ -1,11 +1,15 @@
 """Local-move clustering (modularity, CPM, map equation).
 
-Nodes move to the neighbouring cluster of the greatest gain until none gains, clusters become nodes, and
-the levels repeat.  Clusters are split into connected pieces at the end, as the Leiden guarantee asks.
+Nodes move to the neighbouring cluster of the greatest gain until none gains.  Each cluster is then refined: its
+nodes start alone again and merge, within the cluster only, with what they gain most by; the refined
+groups become the nodes of the next level, which starts from the clusters before the refinement.  That is the
+Leiden scheme with the best merge in place of a random one.  A run may be repeated from its result (``iterations``).
+Clusters are split into connected pieces at the end in any case.
 Connected components of at most ``IN_TASK_EDGES`` edges are solved in one task each; larger ones by
 rounds of joins and aggregates in which a seeded half of the nodes may move, so that no task holds a
-component.  Once a level has few enough edges the kernel of the small ones finishes it.  The graph's
-total weight is passed in; the map equation's index term is taken within each component or group of them.
+component (there without the refinement).  Once a level has few enough edges the kernel of the small ones finishes it.  The graph's
+total weight is passed in, and for the map equation the exit weight of all other components, in passes until
+its value over the whole graph falls no more.
 """
 
 from __future__ import annotations
@@ -33,25 +37,36 @@ def _plogp(x: float) -> float:
     return x * math.log2(x) if x > 0 else 0.0
 
 
-def move_nodes(links: list[dict[int, float]], loops: list[float], sizes: list[int], model: str, gamma: float, m: float, seed: int, rounds: int = 20) -> list[int]:
-    """One level: cluster of each node, by repeated sweeps in a seeded order."""
+def move_nodes(links: list[dict[int, float]], loops: list[float], sizes: list[int], model: str, gamma: float, m: float, seed: int, start: list[int] | None = None, bounds: list[int] | None = None, elsewhere: float = 0.0) -> list[int]:
+    """One level: cluster of each node, by sweeps in a seeded order until no node gains.
+
+    ``start``: clusters to begin with, else every node alone.  ``bounds``: one sweep in which nodes that are alone
+    may join groups of the same bound, and no others (the refinement).  ``elsewhere``: exit weight outside this graph."""
     n = len(links)
     degree = [sum(a.values()) + 2 * loops[i] for i, a in enumerate(links)]
-    label, total, size = list(range(n)), degree.copy(), sizes.copy()
-    outside = [sum(a.values()) for a in links]  # weight that leaves each cluster
-    all_out = sum(outside)
+    label = list(start) if start else list(range(n))
+    total, size, outside, members = ([0.0] * n for _ in range(4))
+    for i, c in enumerate(label):
+        total[c] += degree[i]
+        size[c] += sizes[i]
+        members[c] += 1
+        outside[c] += sum(w for j, w in links[i].items() if label[j] != c)  # weight that leaves each cluster
+    all_out = sum(outside) + elsewhere
     order = sorted(range(n), key=lambda i: hash((seed * 1_000_003 + i) * 2_654_435_761 % 2**32))
 
     def cost(c: int, out: float, vol: float) -> float:
         return -2 * _plogp(out / (2 * m)) + _plogp((out + vol) / (2 * m))
 
-    for _ in range(rounds):
+    while True:
         moved = False
         for i in order:
+            own = label[i]
+            if bounds and members[own] > 1:
+                continue
             near: dict[int, float] = {}
             for j, w in links[i].items():
-                near[label[j]] = near.get(label[j], 0.0) + w
-            own = label[i]
+                if not bounds or bounds[j] == bounds[i]:
+                    near[label[j]] = near.get(label[j], 0.0) + w
             total[own] -= degree[i]
             size[own] -= sizes[i]
             reach = sum(links[i].values())
@@ -81,36 +96,55 @@ def move_nodes(links: list[dict[int, float]], loops: list[float], sizes: list[in
                 outside[best] = new
             total[best] += degree[i]
             size[best] += sizes[i]
+            members[own] -= 1
+            members[best] += 1
             label[i] = best
             moved |= best != own
-        if not moved:
-            break
-    return label
+        if not moved or bounds:
+            return label
+
+
+def _named(label: list[int]) -> tuple[list[int], int]:
+    """Labels as 0, 1, ... in order, and how many there are."""
+    names = {c: i for i, c in enumerate(sorted(set(label)))}
+    return [names[c] for c in label], len(names)
+
 
+def cluster_component(pairs: list[tuple[int, int, float]], n: int, model: str, gamma: float, m: float, seed: int, loops: list[float] | None = None, sizes: list[int] | None = None, iterations: int = 1, elsewhere: float = 0.0) -> list[int]:
+    """Cluster of each of n nodes over weighted pairs, level by level; nodes may stand for groups.
 
-def cluster_component(pairs: list[tuple[int, int, float]], n: int, model: str, gamma: float, m: float, seed: int, loops: list[float] | None = None, sizes: list[int] | None = None) -> list[int]:
-    """Cluster of each of n nodes over weighted pairs, level by level; nodes may stand for groups."""
-    member = list(range(n))
-    loops, sizes = loops or [0.0] * n, sizes or [1] * n
+    ``iterations`` runs, each from the clusters of the one before; below one, until a run changes nothing."""
+    first = (pairs, loops or [0.0] * n, sizes or [1] * n)
+    found, done = None, 0
+    while True:
+        label = _levels(*first, model, gamma, m, seed + done, found, elsewhere)
+        done += 1
+        if done == iterations or label == found:
+            return label
+        found = label
+
+
+def _levels(pairs: list[tuple[int, int, float]], loops: list[float], sizes: list[int], model: str, gamma: float, m: float, seed: int, start: list[int] | None, elsewhere: float) -> list[int]:
+    member = list(range(len(sizes)))
     while True:
         k = len(sizes)
         links: list[dict[int, float]] = [{} for _ in range(k)]
         for a, b, w in pairs:
             links[a][b] = links[a].get(b, 0.0) + w
             links[b][a] = links[b].get(a, 0.0) + w
-        label = move_nodes(links, loops, sizes, model, gamma, m, seed)
-        names = {c: i for i, c in enumerate(sorted(set(label)))}
-        label = [names[c] for c in label]
-        member = [label[x] for x in member]
-        if len(names) == k:
-            return member
-        new_loops, new_sizes = [0.0] * len(names), [0] * len(names)
+        label, _ = _named(move_nodes(links, loops, sizes, model, gamma, m, seed, start, elsewhere=elsewhere))
+        group, count = _named(move_nodes(links, loops, sizes, model, gamma, m, seed, bounds=label, elsewhere=elsewhere))
+        if count == k:
+            return [label[x] for x in member]
+        member = [group[x] for x in member]
+        new_loops, new_sizes, start = [0.0] * count, [0] * count, [0] * count
         for i in range(k):
-            new_loops[label[i]] += loops[i]
-            new_sizes[label[i]] += sizes[i]
+            new_loops[group[i]] += loops[i]
+            new_sizes[group[i]] += sizes[i]
+            start[group[i]] = label[i]
         merged: dict[tuple[int, int], float] = {}
         for a, b, w in pairs:
-            x, y = sorted((label[a], label[b]))
+            x, y = sorted((group[a], group[b]))
             if x == y:
                 new_loops[x] += w
             else:
@@ -232,7 +266,17 @@ def prepared(edges: DataFrame) -> tuple[DataFrame, float]:
     return stored(grouped.join(sizes, "component")), m
 
 
-def local_labels(ready: tuple[DataFrame, float], model: str, resolution: float = 1.0, seed: int = 1234) -> DataFrame:
+def _exits(grouped: DataFrame, labels: DataFrame) -> DataFrame:
+    """(component, cluster, out, vol): weight that leaves each cluster, and the degrees in it."""
+    a = labels.select(F.col("node_id").alias("src"), F.col("piece").alias("a"))
+    b = labels.select(F.col("node_id").alias("dst"), F.col("piece").alias("b"))
+    ends = grouped.join(a, "src").join(b, "dst")
+    both = ends.select("component", F.col("a").alias("c"), "weight", (F.col("a") != F.col("b")).alias("apart"))
+    both = both.unionByName(ends.select("component", F.col("b").alias("c"), "weight", (F.col("a") != F.col("b")).alias("apart")))
+    return both.groupBy("component", "c").agg(F.sum(F.when(F.col("apart"), F.col("weight")).otherwise(0.0)).alias("out"), F.sum("weight").alias("vol"))
+
+
+def local_labels(ready: tuple[DataFrame, float], model: str, resolution: float = 1.0, seed: int = 1234, iterations: int = 1) -> DataFrame:
     """(node_id, piece) of the nodes of ``prepared`` edges; a piece is named by its smallest node."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}; one of {MODELS}")
@@ -243,25 +287,45 @@ def local_labels(ready: tuple[DataFrame, float], model: str, resolution: float =
         names = sorted(set(pdf["src"]) | set(pdf["dst"]))
         at = {v: i for i, v in enumerate(names)}
         pairs = sorted((at[a], at[b], w) for a, b, w in zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True))
-        label = cluster_component(pairs, len(names), model, resolution, m, seed)
+        label = cluster_component(pairs, len(names), model, resolution, m, seed, iterations=iterations, elsewhere=float(pdf["elsewhere"].iloc[0]))
         least: dict[int, int] = {}
         for i, c in enumerate(label):
             least.setdefault(c, i)
         return pd.DataFrame({"node_id": names, "piece": [names[least[c]] for c in label]})
 
     small = F.col("n_edges") <= IN_TASK_EDGES
-    found = grouped.where(small).groupBy("component").applyInPandas(solve, f"node_id {node}, piece {node}")
     large = grouped.where(~small).select("src", "dst", "weight")
-    return found if large.isEmpty() else found.unionByName(_distributed(large, model, resolution, m, seed))
-
-
-def local_move(edges: DataFrame, model: str, resolution: float = 1.0, seed: int = 1234) -> DataFrame:
+    far = None if large.isEmpty() else stored(_distributed(large, model, resolution, m, seed))
+
+    def solved(rows: DataFrame) -> DataFrame:
+        found = rows.where(small).groupBy("component").applyInPandas(solve, f"node_id {node}, piece {node}")
+        return found if far is None else found.unionByName(far)
+
+    found = solved(grouped.withColumn("elsewhere", F.lit(0.0)))
+    if model != "infomap":
+        return found
+    best, value = None, math.inf
+    while True:  # the index term needs what leaves the clusters of all other components
+        found = stored(found)
+        exits = stored(_exits(grouped, found))
+        h = lambda x: _column_plogp(x / (2 * m))
+        out, rest = exits.agg(F.coalesce(F.sum("out"), F.lit(0.0)), F.coalesce(F.sum(h(F.col("out") + F.col("vol")) - 2 * h(F.col("out"))), F.lit(0.0))).first()
+        new = _plogp(out / (2 * m)) + rest
+        if new > value - 1e-9:
+            return best
+        best, value = found, new
+        own = exits.groupBy("component").agg((F.lit(out) - F.sum("out")).alias("elsewhere"))
+        found = solved(grouped.join(own, "component"))
+
+
+def local_move(edges: DataFrame, model: str, resolution: float = 1.0, seed: int = 1234, iterations: int = 2) -> DataFrame:
     """(node_id, cluster_id) by the model ``mod``, ``cpm`` or ``infomap``; connected, no singletons.
 
+    Weights of the edges count; ``iterations`` as in ``cluster_component``, for components that one task solves.
     Rows with a null end are ignored; an empty graph gives no rows."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}; one of {MODELS}")
-    found = numbered(local_labels(prepared(edges), model, resolution, seed))
+    found = numbered(local_labels(prepared(edges), model, resolution, seed, iterations))
     return connected_clusters(edges, found)
 
 

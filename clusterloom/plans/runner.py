@@ -1,9 +1,11 @@
 """Runs of a configuration: clustering, refinements and evaluations as steps with a manifest each.
 
-A step's folder holds its tables (CSV with header, written by Spark) and ``done.json``: the parameters, the
-content of the inputs and that of the tables.  A step whose manifest still holds is not run again.  The
+A step's folder holds its tables (CSV with header, written by Spark; names that end in ``.csv`` or ``.log`` are one file
+each, put together from the sorted parts without one task holding them), texts such as ``entropy.txt``, ``run.log`` (and ``cc.log``,
+``wcc.log`` or ``cm.log`` of a refinement), ``done`` with SHA-256 and path of each single file, and ``done.json``: the parameters, the
+content of the inputs and that of the tables, and the seconds of loading, running and saving.  A step whose manifest still holds is not run again.  The
 manifest goes before a step begins and comes back by a rename after all tables are written, so a failed or
-broken-off step is never taken for a finished one.  ``alias.json`` in a folder names the folder whose tables
+broken-off step is never taken for a finished one.  ``complete.log`` beside the outputs says what each run did, with the time.  ``alias.json`` in a folder names the folder whose tables
 stand for it.  A failed refinement or evaluation is reported and the run goes on; a failed clustering raises.
 """
 
@@ -24,9 +26,10 @@ from clusterloom.functions import measures
 from clusterloom.operators import blockmodel, graph, kcore, localmove, refine
 from clusterloom.plans.config import Algorithm, Routes, allowed_refinements, parse_algorithm
 from clusterloom.sources.edges import read_clustering, read_edges
+from clusterloom.sources.storage import stored
 
 log = logging.getLogger("clusterloom")
-VERSION = 1  # of what the steps compute; a new one makes old manifests stale
+VERSION = 2  # of what the steps compute; a new one makes old manifests stale
 BEST = {"sbm-flat-best": ("sbm-flat-dc", "sbm-flat-ndc", "sbm-flat-pp"), "sbm-nested-best": ("sbm-nested-dc", "sbm-nested-ndc")}
 WEEK = 7 * 24 * 3600.0
 
@@ -41,6 +44,8 @@ class Settings:
     criterion: str = ""
     seed: int = 1234
     timeout: float = WEEK
+    weighted: bool = False
+    iterations: int = 2
 
 
 @dataclass
@@ -77,6 +82,36 @@ class Files:
         finally:
             stream.close()
 
+    def sha256(self, path: str) -> str:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return self.jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
+    def joined(self, folder: str, path: str, header: str) -> None:
+        """One file of a header and the part files of ``folder`` in order; the folder goes."""
+        draft = f"{path}.{uuid.uuid4().hex}"
+        fs, p = self._at(draft)
+        parts = sorted(f.getPath().toString() for f in fs.listStatus(self._at(folder)[1]) if f.getPath().getName().startswith("part-"))
+        out = fs.create(p, True)
+        try:
+            out.write(bytearray(header.encode()))
+            for part in parts:
+                stream = fs.open(self._at(part)[1])
+                self.jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out)
+                stream.close()
+        finally:
+            out.close()
+        self.delete(path)
+        fs.rename(p, self._at(path)[1])
+        self.delete(folder)
+
+    def append(self, path: str, text: str) -> None:
+        """Add to a small text."""
+        self.publish(path, (self.read(path) if self.exists(path) else "") + text)
+
     def publish(self, path: str, text: str) -> None:
         """Write under another name, then rename; what was there goes."""
         draft = f"{path}.{uuid.uuid4().hex}"
@@ -103,11 +138,37 @@ def resolve(spark: SparkSession, folder: str) -> str:
     return json.loads(files.read(f"{folder}/alias.json"))["target"] if files.exists(f"{folder}/alias.json") else folder
 
 
-def cluster(edges: DataFrame, algorithm: Algorithm, seed: int = 1234) -> dict[str, DataFrame]:
-    """Tables of a clustering step: ``com.csv``, and ``entropy`` for block models."""
+def best_of(spark: SparkSession, folder: str) -> str | None:
+    """The model that ``best_model.txt`` of a ``-best`` folder names, or None."""
+    files = Files(spark)
+    name = files.read(f"{folder}/best_model.txt").strip() if files.exists(f"{folder}/best_model.txt") else ""
+    return name or None
+
+
+def entropy_of(files: Files, path: str) -> float:
+    """The one number of an ``entropy.txt``; raises if it holds anything else."""
+    return float(files.read(path).strip())
+
+
+def choose_best(spark: SparkSession, models: list[str], entropies: list[str], out: str) -> str:
+    """Write ``models.txt`` and ``best_model.txt`` to ``out`` for models and their ``entropy.txt`` files, in this order."""
+    if len(models) != len(entropies):
+        raise ValueError(f"{len(models)} models, but {len(entropies)} entropy files")
+    files = Files(spark)
+    rows = [(i, name, entropy_of(files, path)) for i, (name, path) in enumerate(zip(models, entropies, strict=True))]
+    best = measures.best_model(spark.createDataFrame(rows, "ord int, model string, entropy double")).first() if rows else None
+    if best is None:
+        raise ValueError("no model has an entropy")
+    files.publish(f"{out}/models.txt", "".join(["model,entropy\n", *(f"{name},{value}\n" for _, name, value in rows)]))
+    files.publish(f"{out}/best_model.txt", f"{best['model']}\n")
+    return best["model"]
+
+
+def cluster(edges: DataFrame, algorithm: Algorithm, seed: int = 1234, iterations: int = 2) -> dict[str, DataFrame | str]:
+    """Tables of a clustering step: ``com.csv``, and ``entropy.txt`` for block models."""
     if algorithm.family == "leiden":
         resolution = 1.0 if algorithm.resolution is None else algorithm.resolution
-        return {"com.csv": localmove.local_move(edges, algorithm.model, resolution, seed)}
+        return {"com.csv": localmove.local_move(edges, algorithm.model, resolution, seed, iterations)}
     if algorithm.family == "infomap":
         return {"com.csv": localmove.local_move(edges, "infomap", seed=seed)}
     if algorithm.family == "ikc":
@@ -118,8 +179,13 @@ def cluster(edges: DataFrame, algorithm: Algorithm, seed: int = 1234) -> dict[st
     else:
         levels, length = blockmodel.nested_blocks(edges, model, seed)
         blocks = levels[0]
-    entropy = edges.sparkSession.createDataFrame([(algorithm.name, float(length))], "model string, entropy double")
-    return {"com.csv": graph.renumbered(graph.without_singletons(blocks)), "entropy": entropy}
+    return {"com.csv": graph.renumbered(graph.without_singletons(blocks)), "entropy.txt": f"{float(length)}\n"}
+
+
+def history(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(before, after, nodes): what became of each cluster; ``after`` is null for nodes that are in none any more."""
+    now = after.select("node_id", F.col("cluster_id").alias("after"))
+    return before.select("node_id", F.col("cluster_id").alias("before")).join(now, "node_id", "left").groupBy("before", "after").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 def refined(edges: DataFrame, clustering: DataFrame, algorithm: Algorithm, kind: str, criterion: str, seed: int = 1234) -> DataFrame:
@@ -148,7 +214,7 @@ class Runner:
         self.files, self.report = Files(spark), Report()
         if not self.files.exists(routes.edges):
             raise FileNotFoundError(routes.edges)
-        self.edges = read_edges(spark, routes.edges)
+        self.edges = read_edges(spark, routes.edges, settings.weighted)
 
     def _holds(self, folder: str, key: dict) -> bool:
         if not self.files.exists(f"{folder}/done.json"):
@@ -160,6 +226,9 @@ class Runner:
 
     def step(self, folder: str, params: dict, inputs: list[str], work: Callable[[], dict[str, DataFrame]], timeout: float | None = None) -> str:
         """Run ``work`` and write its tables, unless the manifest of ``folder`` says that they stand."""
+        lines, load = [], time.perf_counter()
+        tell = lambda text: lines.append(f"{time.strftime('%Y-%m-%d %H:%M:%S')} {text}\n")
+        tell(f"begin {folder} {json.dumps(params)}")
         key = {"version": VERSION, "params": params, "inputs": {p: content(self.spark, p) for p in inputs}}
         if self._holds(folder, key):
             self.report.steps[folder] = "kept"
@@ -174,21 +243,42 @@ class Runner:
             timer.daemon = True
             timer.start()
         try:
+            tell(f"loaded in {began - load:.3f} s")
             tables = work()
+            ran = time.perf_counter()
+            tell(f"ran in {ran - began:.3f} s")
             for name, table in tables.items():
-                table.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+                self._save(folder, name, table)
+            saved = time.perf_counter()
+            tell(f"saved in {saved - ran:.3f} s")
         except Exception as e:
             self.report.steps[folder] = f"failed: {str(e)[:200]}"
+            tell(self.report.steps[folder])
             raise
         finally:
             if timer:
                 timer.cancel()
                 sc.setLocalProperty("spark.jobGroup.id", None)
+            for name in ("run.log", *([f"{params['refinement']}.log"] if "refinement" in params else [])):
+                self.files.publish(f"{folder}/{name}", "".join(lines))
         held = {n: content(self.spark, f"{folder}/{n}") for n in tables}
-        self.files.publish(f"{folder}/done.json", json.dumps({"key": key, "tables": held, "seconds": round(time.perf_counter() - began, 3)}))
+        single = [f"{folder}/{n}" for n, t in tables.items() if isinstance(t, str) or n.endswith((".csv", ".log"))]
+        self.files.publish(f"{folder}/done", "".join(f"{self.files.sha256(p)}  {p}\n" for p in single))
+        self.files.publish(f"{folder}/done.json", json.dumps({"key": key, "tables": held, "seconds": {"load": round(began - load, 3), "run": round(ran - began, 3), "save": round(saved - ran, 3)}}))
         self.report.steps[folder] = "ran"
         return folder
 
+    def _save(self, folder: str, name: str, table: DataFrame | str) -> None:
+        path = f"{folder}/{name}"
+        if isinstance(table, str):
+            self.files.publish(path, table)
+        elif name.endswith((".csv", ".log")):
+            order = [c for c in ("cluster_id", "before") if c in table.columns] + table.columns
+            table.orderBy(*dict.fromkeys(order)).write.mode("overwrite").csv(f"{path}.parts")
+            self.files.joined(f"{path}.parts", path, ",".join(table.columns) + "\n")
+        else:
+            table.write.mode("overwrite").option("header", True).csv(path)
+
     def _optional(self, *args, **more) -> str | None:
         try:
             return self.step(*args, **more)
@@ -209,7 +299,23 @@ class Runner:
                 lambda: {"result": measures.accuracy(graph.nodes(self.edges), truth(), found()), "ami": measures.adjusted_information(truth(), found())},
             )
 
+    def _refined(self, com: str, algorithm: Algorithm, kind: str) -> dict[str, DataFrame]:
+        before = read_clustering(self.spark, com)
+        after = refined(self.edges, before, algorithm, kind, self.settings.criterion, self.settings.seed)
+        if kind != "cm":
+            return {"com.csv": after}
+        after = stored(after)
+        return {"com.csv": after, "history.log": history(before, after)}
+
     def run(self, name: str) -> Report:
+        """``steps_of`` a name, with an entry in ``complete.log``."""
+        try:
+            return self.steps_of(name)
+        finally:
+            now = time.strftime("%Y-%m-%d %H:%M:%S")
+            self.files.append(f"{self.routes.root}/complete.log", "".join(f"{now} {name} {state} {folder}\n" for folder, state in self.report.steps.items()))
+
+    def steps_of(self, name: str) -> Report:
         """All steps of an algorithm; a ``-best`` name runs its models and aliases the winner's folders."""
         algorithm, s = parse_algorithm(name), self.settings
         wanted = allowed_refinements(algorithm, s.refinements)
@@ -217,14 +323,14 @@ class Runner:
             log.warning("%s does not take %s: left out", name, r)
         if name in BEST:
             return self._best(name, wanted)
-        base = self.step(self.routes.output("clusterings", name), {"algorithm": name, "seed": s.seed}, [self.routes.edges], lambda: cluster(self.edges, algorithm, s.seed), s.timeout)
+        base = self.step(self.routes.output("clusterings", name), {"algorithm": name, "seed": s.seed, "weighted": s.weighted, "iterations": s.iterations}, [self.routes.edges], lambda: cluster(self.edges, algorithm, s.seed, s.iterations), s.timeout)
         com = f"{base}/com.csv"
         self._evaluate(com, (name,))
         for kind in wanted:
             tag = (name, kind, s.criterion)
             out = self._optional(
                 self.routes.output("clusterings", *tag), {"algorithm": name, "refinement": kind, "criterion": s.criterion, "seed": s.seed}, [self.routes.edges, com],
-                lambda kind=kind: {"com.csv": refined(self.edges, read_clustering(self.spark, com), algorithm, kind, s.criterion, s.seed)}, timeout=s.timeout,
+                lambda kind=kind: self._refined(com, algorithm, kind), timeout=s.timeout,
             )
             if out:
                 self._evaluate(f"{out}/com.csv", tag)
@@ -232,18 +338,9 @@ class Runner:
 
     def _best(self, name: str, wanted: tuple[str, ...]) -> Report:
         for child in BEST[name]:
-            self.run(child)
-        rows = []
-        for i, child in enumerate(BEST[name]):
-            held = self.spark.read.csv(f"{self.routes.output('clusterings', child)}/entropy", header=True, schema="model string, entropy double").first()
-            rows.append((i, child, held["entropy"]))
-        models = self.spark.createDataFrame(rows, "ord int, model string, entropy double")
-        best = measures.best_model(models).first()["model"]
-        if best is None:
-            raise ValueError("no model has an entropy")
+            self.steps_of(child)
         own = self.routes.output("clusterings", name)
-        models.select("model", "entropy").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{own}/models")
-        self.files.publish(f"{own}/best_model.txt", f"{best}\n")
+        best = choose_best(self.spark, list(BEST[name]), [f"{self.routes.output('clusterings', child)}/entropy.txt" for child in BEST[name]], own)
         for kind in ("clusterings", "stats", "acc"):
             for tag in ((), *((r, self.settings.criterion) for r in wanted)):
                 target, alias = self.routes.output(kind, best, *tag), self.routes.output(kind, name, *tag)
