@@ -23,30 +23,71 @@ from clusterloom.llm.common import alnum_words, raw, text_frame
 #: Phrases and labels as the contract fixes them.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Well-known license wordings in template markup.
+_AS_IS = "without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"
+_LIABLE = "be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the
+    following conditions are met <<optional>>1<<end>> redistributions of source code must retain the above copyright notice
+    this list of conditions and the following disclaimer <<optional>>2<<end>> redistributions in binary form must reproduce
+    the above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+    materials provided with the distribution"""
+_BSD_END = """this software is provided by <<any 8>> as is and any express or implied warranties including but not limited to the
+    implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<any 8>> be
+    liable for any direct indirect incidental special exemplary or consequential damages including but not limited to
+    procurement of substitute goods or services loss of use data or profits or business interruption however caused and on
+    any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any
+    way out of the use of this software even if advised of the possibility of such damage"""
+_GNU = "gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license"
+
+#: License texts in full, the headers that licenses ask files to carry (``-header``), and
+#: the usual one-line notices (``-notice``), in template markup.  All mandatory words must be there, to the end.
 TEMPLATES = {
-    "MIT": """permission is hereby granted free of charge to any person obtaining a copy of this software and
+    "MIT": f"""permission is hereby granted free of charge to any person obtaining a copy of this software and
         associated documentation files <<optional>>the software<<end>> to deal in the software without restriction
         including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
         copies of the software and to permit persons to whom the software is furnished to do so subject to the
-        following conditions""",
-    "MIT-notice": """<<optional>>released<<end>> <<optional>>licensed<<end>> under the <<optional>>terms of the<<end>> mit license""",
-    "Apache-2.0": """licensed under the apache license version 2 0 the license you may not use this file except in
-        compliance with the license <<optional>>you may obtain a copy of the license at <<any 12>><<end>>""",
-    "Apache-2.0-notice": "licensed under the apache license <<optional>>version 2 0<<end>>",
-    "BSD": """redistribution and use in source and binary forms with or without modification are permitted provided
-        that the following conditions are met <<optional>>1<<end>> redistributions of source code must retain the above
-        copyright notice this list of conditions and the following disclaimer""",
+        following conditions the above copyright notice and this permission notice <<optional>>including the next
+        paragraph<<end>> shall be included in all copies or substantial portions of the software the software is
+        provided as is {_AS_IS} in no event shall the authors or copyright holders {_LIABLE}""",
+    "BSD-2-Clause": f"{_BSD} {_BSD_END}",
+    "BSD-3-Clause": f"""{_BSD} <<optional>>3<<end>> neither the name of <<any 12>> nor the names of its contributors may be
+        used to endorse or promote products derived from this software without specific prior written permission {_BSD_END}""",
     "ISC": """permission to use copy modify and or distribute this software for any purpose with or without fee is
-        hereby granted provided that the above copyright notice and this permission notice appear in all copies""",
-    "GPL": """this <<any 4>> is free software you can redistribute it and or modify it under the terms of the gnu
-        <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license as published by the free software
-        foundation""",
-    "GPL-notice": "licensed under the gnu <<optional>>lesser<<end>> <<optional>>affero<<end>> general public license <<optional>>version <<any 1>><<end>>",
+        hereby granted provided that the above copyright notice and this permission notice appear in all copies the
+        software is provided as is and <<any 6>> disclaims all warranties with regard to this software including all implied
+        warranties of merchantability and fitness in no event shall <<any 6>> be liable for any special direct indirect or
+        consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of
+        contract negligence or other tortious action arising out of or in connection with the use or performance of this
+        software""",
+    "Zlib": """this software is provided as is without any express or implied warranty in no event will the authors be held
+        liable for any damages arising from the use of this software permission is granted to anyone to use this software for
+        any purpose including commercial applications and to alter it and redistribute it freely subject to the following
+        restrictions <<optional>>1<<end>> the origin of this software must not be misrepresented you must not claim that you
+        wrote the original software if you use this software in a product an acknowledgment in the product documentation
+        would be appreciated but is not required <<optional>>2<<end>> altered source versions must be plainly marked as such
+        and must not be misrepresented as being the original software <<optional>>3<<end>> this notice may not be removed or
+        altered from any source distribution""",
+    "Unlicense": f"""this is free and unencumbered software released into the public domain anyone is free to copy modify
+        publish use compile sell or distribute this software either in source code form or as a compiled binary for any
+        purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or
+        authors of this software dedicate any and all copyright interest in the software to the public domain we make this
+        dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this
+        dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under
+        copyright law the software is provided as is {_AS_IS} in no event shall the authors {_LIABLE}""",
+    "Apache-2.0-header": """licensed under the apache license version 2 0 <<optional>>the license<<end>> you may not use this
+        file except in compliance with the license you may obtain a copy of the license at <<any 12>> unless required by
+        applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+        without warranties or conditions of any kind either express or implied see the license for the specific language
+        governing permissions and limitations under the license""",
+    "GPL-header": f"""free software you can redistribute it and or modify it under the terms of the {_GNU} as published by
+        the free software foundation either version <<any 2>> of the license or <<optional>>at your option<<end>> any later
+        version <<any 5>> is distributed in the hope that it will be useful but without any warranty without even the implied
+        warranty of merchantability or fitness for a particular purpose see the {_GNU} for more details""",
+    "MPL-2.0-header": """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the
+        mpl was not distributed with this file you can obtain one at <<any 8>>""",
+    "MIT-notice": "<<optional>>released<<end>> <<optional>>licensed<<end>> under the <<optional>>terms of the<<end>> mit license",
+    "Apache-2.0-notice": "licensed under the apache license <<optional>>version 2 0<<end>>",
+    "GPL-notice": f"licensed under the {_GNU} <<optional>>version <<any 1>><<end>>",
     "CC-notice": "licensed under <<optional>>a creative commons<<end>> cc by <<optional>>nc<<end>> <<optional>>sa<<end>> <<optional>>nd<<end>> <<any 2>>",
-    "MPL-2.0": """this source code form is subject to the terms of the mozilla public license v 2 0
-        <<optional>>if a copy of the mpl was not distributed with this file you can obtain one at <<any 8>><<end>>""",
-    "Unlicense": "this is free and unencumbered software released into the public domain",
 }
 
 

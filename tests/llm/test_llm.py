@@ -373,6 +373,19 @@ def test_licenses(spark, docs, rows, nothing):
     assert a.longest(b"by the new rule done".split(), 0) == -1 and a.longest(b"by the rule x y z done".split(), 0) == -1
 
 
+@pytest.mark.parametrize("name", ["MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "Apache-2.0-header", "GPL-header"])
+def test_license_wording_must_match_in_whole(name):
+    """The template's own words are found; each mandatory word that is changed or left out refuses the text."""
+    template = re.sub(r"<<any \d+>>", "someone", licenses.TEMPLATES[name])
+    plain = re.sub(r"<<optional>>.*?<<end>>", " ", template, flags=re.S).split()
+    found = lambda words: name in {label for _, _, label in licenses.scan(" ".join(["see", *words, "bye"]).encode())[2]}
+    assert found(plain) and found(re.sub("<<optional>>|<<end>>", " ", template).split()) and found([w.upper() for w in plain])
+    assert not found(plain[: len(plain) // 2]) and not found(plain[:-1])
+    for i, w in enumerate(plain):
+        if w != "someone" and "someone" not in plain[max(0, i - 9) : i + 2]:
+            assert not found([*plain[:i], "nobody", *plain[i + 1 :]]) and (w in plain[i + 1 : i + 2] or not found([*plain[:i], *plain[i + 1 :]])), (i, w)
+
+
 def test_mix(spark, docs, rows, nothing):
     got = mixing.mix_plan(docs).collect()
     assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
