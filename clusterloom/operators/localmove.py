@@ -28,7 +28,7 @@ from clusterloom.sources.storage import stored
 
 MODELS = ("mod", "cpm", "infomap")
 #: Edges that one task clusters at most.
-IN_TASK_EDGES = 100_000
+IN_TASK_EDGES = 500_000
 #: Rounds of one level at most, and rounds without a better objective after which it ends.
 MAX_ROUNDS, PATIENCE = 24, 4
 

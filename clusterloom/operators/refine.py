@@ -72,37 +72,64 @@ Links = list[dict[int, float]]
 
 
 def min_cut(links: Links) -> tuple[float, list[int]]:
-    """Weight and one side of a minimum cut of a connected graph of neighbour maps (maximum-adjacency phases).
+    """Weight and one side of a minimum cut of a connected graph of neighbour maps.
 
-    A heap keeps the phases at edges x log nodes, and memory at the edges.  A single node has no cut."""
+    Each phase scans the nodes in maximum-adjacency order.  What an unscanned node has collected when an edge reaches
+    it bounds the cuts between that edge's ends from below; edges whose bound is no less than the best cut known
+    can't be in a better one and are contracted, all at once.  Cuts known are the least node and every prefix of the
+    scan.  A phase takes edges x log nodes, and few are needed where most edges are contracted.
+    A single node has no cut."""
     w = [dict(x) for x in links]
-    merged: list[list[int]] = [[i] for i in range(len(w))]
-    alive = set(range(len(w)))
+    members: list[list[int]] = [[i] for i in range(len(w))]
     best, side = math.inf, []
-    while len(alive) > 1:
-        start = min(alive)
-        key, done, prev, last = {start: 0.0}, set(), -1, -1
-        heap, rest, cut = [(0.0, start)], iter(sorted(alive)), 0.0
-        while len(done) < len(alive):
-            while heap and (heap[0][1] in done or -heap[0][0] != key[heap[0][1]]):
+    while len(w) > 1:
+        degree = [sum(x.values()) for x in w]
+        least = min(range(len(w)), key=degree.__getitem__)
+        if degree[least] < best:
+            best, side = degree[least], list(members[least])
+        group = list(range(len(w)))
+
+        def find(i: int, group: list[int] = group) -> int:
+            while group[i] != i:
+                group[i] = group[group[i]]
+                i = group[i]
+            return i
+
+        key, done, order = [0.0] * len(w), [False] * len(w), []
+        heap, rest, cut, cuts = [(0.0, 0)], iter(range(len(w))), 0.0, []
+        bounds: list[tuple[float, int, int]] = []
+        while len(order) < len(w):
+            while heap and (done[heap[0][1]] or -heap[0][0] != key[heap[0][1]]):
                 heapq.heappop(heap)
-            i = heapq.heappop(heap)[1] if heap else next(v for v in rest if v not in done)
-            done.add(i)
-            prev, last, cut = last, i, key.get(i, 0.0)
+            i = heapq.heappop(heap)[1] if heap else next(v for v in rest if not done[v])
+            done[i] = True
+            cut += degree[i] - 2 * key[i]
+            order.append(i)
+            cuts.append(cut)
             for v, x in w[i].items():
-                if v not in done:
-                    key[v] = key.get(v, 0.0) + x
+                if not done[v]:
+                    key[v] += x
                     heapq.heappush(heap, (-key[v], v))
-        if cut < best:
-            best, side = cut, list(merged[last])
-        for v, x in w[last].items():
-            del w[v][last]
-            if v != prev:
-                w[prev][v] = w[prev].get(v, 0.0) + x
-                w[v][prev] = w[prev][v]
-        w[last] = {}
-        merged[prev] += merged[last]
-        alive.remove(last)
+                    bounds.append((key[v], i, v))
+        at = min(range(len(w) - 1), key=cuts.__getitem__)
+        if cuts[at] < best - 1e-12:
+            best, side = cuts[at], [m for i in order[: at + 1] for m in members[i]]
+        for q, i, v in bounds:
+            if q >= best - 1e-12:
+                group[find(i)] = find(v)
+        roots = sorted({find(i) for i in range(len(w))})
+        if len(roots) == len(w):  # no edge at all: the parts are apart
+            break
+        place = {r: k for k, r in enumerate(roots)}
+        smaller: Links = [{} for _ in roots]
+        merged: list[list[int]] = [[] for _ in roots]
+        for i, near in enumerate(w):
+            a = place[find(i)]
+            merged[a] += members[i]
+            for v, x in near.items():
+                if (b := place[find(v)]) != a:
+                    smaller[a][b] = smaller[a].get(b, 0.0) + x
+        w, members = smaller, merged
     return best, sorted(side)
 
 
