@@ -19,6 +19,9 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -159,25 +162,29 @@ class ShardStore:
                 return now["version"]
             schema = T.StructType.fromJson(now["schema"])
             made: list[Shard] = []
-            for at in range(0, len(groups), MERGES):
-                merged = [self._read(g, schema).coalesce(1) for g in groups[at : at + MERGES]]
-                made += self._write_apart(merged)
+            batches = [groups[at : at + MERGES] for at in range(0, len(groups), MERGES)]
+            # A job has a task for each of its files, so jobs run side by side until all cores have one.
+            with self._apart(), ThreadPoolExecutor(1 + self.spark.sparkContext.defaultParallelism // MERGES) as pool:
+                for shards_made in pool.map(lambda batch: self._write_apart([self._read(g, schema).coalesce(1) for g in batch]), batches):
+                    made += shards_made
             gone = {s.path for g in groups for s in g}
             self.commit(now["version"], schema, [*(s for s in shards if s.path not in gone), *made])
 
-    def _write_apart(self, parts: list[DataFrame]) -> list[Shard]:
-        """One job that writes each of the single-partition ``parts`` to a file of its own.
-
-        A union of single partitions is otherwise laid into one partition.
-        """
+    @contextmanager
+    def _apart(self) -> Iterator[None]:
+        """A union of single partitions keeps them; it is otherwise laid into one partition."""
         key = "spark.sql.unionOutputPartitioning"
         before = self.spark.conf.get(key, "true")
-        folder = f"{self.root}/shards/{uuid.uuid4().hex}"
         self.spark.conf.set(key, "false")
         try:
-            reduce(DataFrame.union, parts).write.option("compression", "zstd").parquet(folder)
+            yield
         finally:
             self.spark.conf.set(key, before)
+
+    def _write_apart(self, parts: list[DataFrame]) -> list[Shard]:
+        """One job that writes each of the single-partition ``parts`` to a file of its own."""
+        folder = f"{self.root}/shards/{uuid.uuid4().hex}"
+        reduce(DataFrame.union, parts).write.option("compression", "zstd").parquet(folder)
         return self._written(folder)
 
     def expire(self, keep: int = 1) -> None:

@@ -1,8 +1,9 @@
 """Exact top-k by inner product: a KD-tree for each shard, best-first with propagated bounds.
 
-Rows are dealt to shards of about ``SHARD`` vectors by hash.  A shard's task builds a KD-tree
+Rows are dealt to shards of at most about ``SHARD`` vectors by hash, smaller ones where cores would idle.  A shard's task builds a KD-tree
 (median splits on the widest side, leaves of ``LEAF``, tight boxes) and writes it as one row.  Queries
-come in blocks of ``BLOCK``.  Each block first searches one shard; the k-th score it finds there goes
+come in blocks of about ``BLOCK``.  Both are written in the narrowest integers that hold their components, for every block
+visits every shard: bytes moved are pairs of tiles times their size, and larger tiles move less.  Each block first searches one shard; the k-th score it finds there goes
 with the block to all other shards, where it cuts every box whose bound is below.  Inside a tree all
 queries of a block walk at once: in each round a query opens the box with its highest bound, which is
 either split or, at a leaf, scored by one matrix product with the other queries at that leaf.
@@ -13,7 +14,8 @@ the query's own exclusion can need, so copies neither deepen the tree nor widen
 Defined cases: vectors that are null or hold a null or non-finite component take no part; shorter
 vectors are padded with zeros; ties go to the smaller id, null ids last; repeated rows are rows of
 their own and only the query's own row is left out; empty tables give empty results.  Scores are
-exact in 64 bits.  Extra columns are never read.
+exact in 64 bits: where a sum of products may leave the mantissa of a double, components are multiplied in halves of
+``LIMB`` bits, and box bounds are widened by their rounding.  Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -29,10 +31,12 @@ from pyspark.sql import functions as F
 
 from clusterloom.sources.storage import stored
 
-SHARD = 8192
-BLOCK = 2048
+SHARD = 1 << 16
+BLOCK = 1 << 13
+LEAST_SHARD, LEAST_BLOCK = 1 << 12, 1 << 8
 LEAF = 256
-RANK_BITS = 14  # places inside a shard, for ties
+RANK_BITS = 18  # places inside a shard, for ties; hashing deals no shard four times the mean
+LIMB = 20
 NOTHING = np.iinfo(np.int64).min
 
 
@@ -42,6 +46,11 @@ def _pack(**arrays: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def _narrow(points: np.ndarray) -> np.ndarray:
+    most = int(abs(points).max(initial=0))
+    return points.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.int64)
+
+
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(data)) as f:
         return dict(f)
@@ -84,7 +93,7 @@ def build_tree(ids: np.ndarray, uids: np.ndarray, points: np.ndarray, k: int) ->
             nodes[at][2:] = len(nodes), len(nodes) + 1
             nodes += [[a, a + middle, -1, -1], [a + middle, b, -1, -1]]
         at += 1
-    return {"ids": ids[order], "uids": uids[order], "rank": order, "points": points[order].astype(np.float64), "nodes": np.array(nodes), "lo": np.array(lo, np.float64), "hi": np.array(hi, np.float64)}
+    return {"ids": ids[order], "uids": uids[order], "rank": order, "points": _narrow(points[order]), "nodes": np.array(nodes), "lo": np.array(lo, np.float64), "hi": np.array(hi, np.float64)}
 
 
 def search(tree: dict[str, np.ndarray], queries: np.ndarray, quids: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,17 +101,19 @@ def search(tree: dict[str, np.ndarray], queries: np.ndarray, quids: np.ndarray,
 
     ``least``: scores below are of no use, by an earlier shard's k-th score.
     """
-    nodes, points = tree["nodes"], tree["points"]
+    nodes, points = tree["nodes"], tree["points"].astype(np.float64)
     q = queries.astype(np.float64)
-    exact = max(abs(q).max(initial=0), 1) * max(abs(points).max(initial=0), 1) * q.shape[1] < 2.0**48
-    if not exact:
-        return _plain(tree, queries, quids, k)
+    size = max(abs(q).max(initial=0), 1) * max(abs(points).max(initial=0), 1) * max(q.shape[1], 1)
+    packed = size < 2.0 ** (62 - RANK_BITS)  # score and tie in one number
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    bounds = (up @ tree["hi"].T + down @ tree["lo"].T).astype(np.int64)
+    slack = 0.0 if size < 2.0**50 else size * 2.0**-48
+    bounds = np.minimum(up @ tree["hi"].T + down @ tree["lo"].T + slack, 2.0**62).astype(np.int64)
+    score_of = (lambda at, a, b: (q[at] @ points[a:b].T).astype(np.int64)) if size < 2.0**52 else partial(_in_limbs, queries.astype(np.int64), tree["points"].astype(np.int64))
     own = {int(u): i for i, u in enumerate(tree["uids"])}
     mine = np.array([own.get(int(u), -1) for u in quids])
     tie = (1 << RANK_BITS) - 1 - tree["rank"]
-    best = np.full((len(q), k), NOTHING, np.int64)
+    best = np.full((len(q), k), NOTHING, np.int64)  # packed, or scores with their ties beside them
+    ties = np.zeros((0 if packed else len(q), k), np.int64)
     open_ = np.full(bounds.shape, NOTHING, np.int64)
     open_[:, 0] = bounds[:, 0]
     active = np.arange(len(q))
@@ -110,7 +121,7 @@ def search(tree: dict[str, np.ndarray], queries: np.ndarray, quids: np.ndarray,
         node = open_[active].argmax(1)
         bound = open_[active, node]
         worst = best[active].min(1)
-        kth = np.where(worst == NOTHING, NOTHING, worst >> RANK_BITS)
+        kth = np.where(worst == NOTHING, NOTHING, worst >> RANK_BITS if packed else worst)
         going = (bound != NOTHING) & (bound >= np.maximum(kth, least[active]))
         active, node = active[going], node[going]
         open_[active, node] = NOTHING
@@ -120,30 +131,47 @@ def search(tree: dict[str, np.ndarray], queries: np.ndarray, quids: np.ndarray,
             if left >= 0:
                 open_[at, left], open_[at, right] = bounds[at, left], bounds[at, right]
                 continue
-            score = (q[at] @ points[a:b].T).astype(np.int64)
-            keys = (score << RANK_BITS) | tie[a:b]
+            scores = score_of(at, a, b)
             inside = (mine[at] >= a) & (mine[at] < b)
-            keys[np.flatnonzero(inside), mine[at][inside] - a] = NOTHING
-            both = np.concatenate((best[at], keys), 1)
-            best[at] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            if packed:
+                keys = (scores << RANK_BITS) | tie[a:b]
+                keys[np.flatnonzero(inside), mine[at][inside] - a] = NOTHING
+                both = np.concatenate((best[at], keys), 1)
+                best[at] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            else:
+                scores[np.flatnonzero(inside), mine[at][inside] - a] = NOTHING
+                both = np.concatenate((best[at], scores), 1)
+                beside = np.concatenate((ties[at], np.broadcast_to(tie[a:b], scores.shape)), 1)
+                top = np.lexsort((beside, both), axis=1)[:, -k:]
+                best[at], ties[at] = np.take_along_axis(both, top, 1), np.take_along_axis(beside, top, 1)
     who, col = np.nonzero(best != NOTHING)
     key = best[who, col]
-    found = np.argsort(tree["rank"])[(1 << RANK_BITS) - 1 - (key & ((1 << RANK_BITS) - 1))]
-    keep = (key >> RANK_BITS) >= least[who]
-    return np.stack([who[keep], found[keep]], 1), (key >> RANK_BITS)[keep]
-
-
-def _plain(tree, queries, quids, k):
-    """The same over 64-bit integers, where products do not fit the mantissa of a double."""
-    points = tree["points"].astype(np.int64)
-    pairs, scores = [], []
-    for i, (x, u) in enumerate(zip(queries, quids, strict=True)):
-        s = points @ x
-        order = np.lexsort((tree["rank"], ~s))
-        order = order[tree["uids"][order] != u][:k]
-        pairs.append(np.stack([np.full(len(order), i), order], 1))
-        scores.append(s[order])
-    return np.concatenate(pairs), np.concatenate(scores)
+    place = key & ((1 << RANK_BITS) - 1) if packed else ties[who, col]
+    found = np.argsort(tree["rank"])[(1 << RANK_BITS) - 1 - place]
+    value = key >> RANK_BITS if packed else key
+    keep = value >= least[who]
+    return np.stack([who[keep], found[keep]], 1), value[keep]
+
+
+def _in_limbs(queries: np.ndarray, points: np.ndarray, at: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Products of whole numbers whose sums do not fit a double's mantissa: signed limbs, each product exact, sums modulo 2**64."""
+    def limbs(x: np.ndarray) -> list[np.ndarray]:
+        out = []
+        while x.any():
+            low = x & ((1 << LIMB) - 1)
+            out.append(low.astype(np.float64))
+            x = x >> LIMB
+            if (x == -1).all() or len(out) == 3:  # what is left is a sign, or the last limb
+                out.append(x.astype(np.float64))
+                break
+        return out
+
+    total = np.zeros((len(at), b - a), np.int64)
+    for i, x in enumerate(limbs(queries[at])):
+        for j, y in enumerate(limbs(points[a:b])):
+            if (i + j) * LIMB < 64:
+                total += (x @ y.T).astype(np.int64) << np.int64((i + j) * LIMB)
+    return total
 
 
 def _trees(table: pa.Table, k: int, dims: int) -> pa.Table:
@@ -153,7 +181,7 @@ def _trees(table: pa.Table, k: int, dims: int) -> pa.Table:
 
 
 def _blocks(table: pa.Table, dims: int) -> pa.Table:
-    packed = _pack(ids=table.column("id").to_numpy(), uids=table.column("uid").to_numpy(), points=_matrix(table.column("v"), dims))
+    packed = _pack(ids=table.column("id").to_numpy(), uids=table.column("uid").to_numpy(), points=_narrow(_matrix(table.column("v"), dims)))
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "queries": pa.array([packed], pa.binary())})
 
 
@@ -186,7 +214,9 @@ def top_k(rows: DataFrame, k: int, is_query: Column, id_col: str, vec_col: str,
     v = v.select("id", F.transform("x", lambda y: F.floor(y * scale).cast("long")).alias("v"))
     v = stored(v.withColumn("uid", F.monotonically_increasing_id()))
     n, asked, dims = v.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    shards, blocks = -(-n // SHARD) or 1, -(-asked // BLOCK) or 1
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    shards = max(-(-n // SHARD), min(2 * cores, -(-n // LEAST_SHARD)), 1)
+    blocks = max(-(-asked // BLOCK), min(2 * cores, -(-asked // LEAST_BLOCK)), 1)
     place = F.xxhash64("uid")
 
     def tree_of(table: pa.Table) -> pa.Table:

@@ -217,6 +217,23 @@ def test_shards_round_trip(spark, docs, nothing, tmp_path):
     assert empty.read().count() == 0 and empty.version() == 1
 
 
+def test_many_merges_run_in_several_jobs(spark, tmp_path, monkeypatch):
+    """Each merged shard is one file near the target size, versions commit one after another, and no row is lost."""
+    monkeypatch.setattr(sharding, "MERGES", 2)
+    store = sharding.ShardStore(spark, str(tmp_path / "m"))
+    rows = spark.range(40_000).selectExpr("id", "sha2(cast(id as string), 256) AS text")
+    store.append_arrivals(rows, F.col("id") % 24)
+    before = store.shards()
+    target = 4 * max(s.size for s in before)
+    store.compact(target)
+    after = store.shards()
+    assert len(after) < len(before) / 2 and max(s.size for s in after) <= 1.2 * target and store.version() > 24
+    assert store.read().count() == 40_000 and store.read(3).count() < 40_000
+    assert store.read().agg(F.sum("id")).first()[0] == sum(range(40_000))
+    store.expire()
+    assert store.read().select("id").distinct().count() == 40_000
+
+
 def test_merges_pack_similar_runs():
     small = [sharding.Shard(f"s{i}", 100) for i in range(10)]
     groups = sharding.plan_merges([*small, sharding.Shard("big", 10**9)], target=500, smallest=1000)
@@ -341,6 +358,7 @@ def test_gray_index_links(spark, split):
 
 def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 40)
+    monkeypatch.setattr(topk, "LEAST_SHARD", 40)
     monkeypatch.setattr(topk, "BLOCK", 5)
     monkeypatch.setattr(topk, "LEAF", 8)
     rng = np.random.default_rng(2)
@@ -358,6 +376,23 @@ def test_topk(spark, monkeypatch):
     assert topk.top_k(none, 7, F.col("id") % 20 == 0, "vec_id", "embedding").count() == 0
 
 
+@pytest.mark.parametrize("most", [100, 2**20, 2**27, 2**29])
+def test_tree_search_is_exact_for_large_components(monkeypatch, most):
+    """Scores beyond a double's mantissa, many ties: the same tree search, in halves."""
+    monkeypatch.setattr(topk, "LEAF", 8)
+    rng = np.random.default_rng(most % 97)
+    points = rng.integers(-most, most + 1, (120, 5))
+    points[60:90] = points[:30]
+    tree = topk.build_tree(np.arange(120), np.arange(120), points, 7)
+    pairs, scores = topk.search(tree, points[::6], np.arange(120)[::6], np.full(20, topk.NOTHING), 7)
+    got = sorted((int(w), int(tree["ids"][f]), int(s)) for (w, f), s in zip(pairs, scores, strict=True))
+    want = []
+    for w, i in enumerate(range(0, 120, 6)):
+        every = sorted((-sum(int(x) * int(y) for x, y in zip(points[i], points[j], strict=True)), j) for j in range(120) if j != i)[:7]
+        want += [(w, j, -s) for s, j in every]
+    assert got == sorted(want)
+
+
 def test_licenses(spark, docs, rows, nothing):
     got = licenses.license_places(docs).collect()
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
