@@ -61,6 +61,20 @@ def space_words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+def word_pieces(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The ``space_words`` of a text, those of about ``size`` bytes at a time, so that few are objects at once."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + size) if at + size < len(text) else None
+        end = blank.start() if blank else len(text)
+        if words := text[at:end].split():
+            yield words
+        at = end
+
+
 def text_frame(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``id`` and ``text``: other columns, whatever their names, never travel with them."""
     bound_batches(docs.sparkSession)

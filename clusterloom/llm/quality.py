@@ -6,7 +6,8 @@ its log-count ratio between the classes; rows are brought to unit length and a l
 model is fitted by dual coordinate descent.  Margins of a two-fold cross-fit give the logistic curve
 that turns a margin into a probability.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of their id,
+The model is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of their id and as many of them as
+have ``PLACES`` indicators in sum,
 so the driver holds a bounded matrix whatever the corpus; every document is scored in whole.
 
 Defined cases: null and empty texts have no features and get the score of the bias; labels that are
@@ -24,13 +25,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import bound_batches, raw, slices, text_frame
+from clusterloom.llm.common import bound_batches, raw, slices, text_frame, word_pieces
+from clusterloom.sources.storage import stored
 
 WIDTH = 1 << 17
 SAMPLE = 12_000
+PLACES = 64 << 20  # four bytes each in the driver
 ROUNDS = 12
 COST = 1.0
 THRESHOLD = 0.3
@@ -55,26 +58,29 @@ _words = _Words()
 _flags = np.zeros(WIDTH, bool)
 
 
+PIECE = 1 << 20  # bytes, or words, that are hashed together
+
+
 def features(text: bytes) -> np.ndarray:
-    """Ascending places of the indicators that the text has."""
+    """Ascending places of the indicators that the text has; long texts are hashed piece by piece."""
     half = WIDTH // 2
-    parts = []
-    if len(text) >= 3:
-        a = np.frombuffer(text, np.uint8).astype(np.uint32)
-        parts.append(((a[:-2] * np.uint32(0x9E3779B1) + a[1:-1] * np.uint32(0x85EBCA77) + a[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)) % np.uint32(half))
-    words = text.split()
-    if words:
-        both = np.fromiter(map(_words.__getitem__, words), np.int64, len(words))
+    for at in range(0, max(len(text) - 2, 0), PIECE):
+        a = np.frombuffer(text[at : at + PIECE + 2], np.uint8).astype(np.uint32)
+        _flags[((a[:-2] * np.uint32(0x9E3779B1) + a[1:-1] * np.uint32(0x85EBCA77) + a[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)) % np.uint32(half)] = True
+    before: list[bytes] = []  # the last three words of the piece before: one to compare with, two that begin n-grams
+    for words in word_pieces(text, PIECE):
+        both = np.fromiter(map(_words.__getitem__, [*before, *words]), np.int64, len(before) + len(words))
         code, shape = (both & 0xFFFFFFFF).astype(np.uint32), (both >> 32).astype(np.uint32) * np.uint32(2)
         shape[1:] += code[1:] == code[:-1]
-        parts.append(half + ((code * np.uint32(0x9E3779B1)) >> np.uint32(17)) % np.uint32(half // 2))
+        if len(before) == 3:
+            code, shape = code[1:], shape[1:]
+        _flags[half + ((code * np.uint32(0x9E3779B1)) >> np.uint32(17)) % np.uint32(half // 2)] = True
         gram = shape
         for n in range(3):
-            if len(words) > n:
-                parts.append(half + half // 2 + ((gram * np.uint32(0x85EBCA77) + np.uint32(n * 7919)) >> np.uint32(16)) % np.uint32(half // 2))
+            if len(shape) > n:
+                _flags[half + half // 2 + ((gram * np.uint32(0x85EBCA77) + np.uint32(n * 7919)) >> np.uint32(16)) % np.uint32(half // 2)] = True
                 gram = gram[:-1] * np.uint32(331) + shape[n + 1 :]
-    for p in parts:
-        _flags[p] = True
+        before = [*before, *words][-3:]
     found = np.flatnonzero(_flags)
     _flags[found] = False
     return found
@@ -172,14 +178,18 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), places, batch.column(2)], names=["id", "places", "quality"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Model of the labelled rows outside the held-out fold, at most ``sample`` of them."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, places: int = PLACES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Model of the labelled rows outside the held-out fold: at most ``sample`` of them, with at most ``places``
+    indicators in sum."""
     known = labels.select(labels[id_col].cast("long").alias("id"), labels[label_col].cast("int").alias("quality"))
     known = known.where("id IS NOT NULL AND quality IN (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = text_frame(docs, id_col, text_col).join(F.broadcast(known), "id")  # at most ``sample`` rows
     texts = texts.groupBy("id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
-    got = texts.select("id", "text", "quality").mapInArrow(_featured, "id long, places array<int>, quality int").orderBy("id").toArrow()
+    held = stored(texts.select("id", "text", "quality").mapInArrow(_featured, "id long, places array<int>, quality int"))
+    upto = F.sum(F.size("places")).over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    some = held.select("id", upto.alias("upto")).where(F.col("upto") <= places).select("id")  # of at most ``sample`` rows
+    got = held.join(F.broadcast(some), "id", "left_semi").orderBy("id").toArrow()
     rows = [np.asarray(x.values) for x in got.column("places")]
     return fit(rows, got.column("quality").to_numpy())
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import raw, slices, space_words, text_frame
+from clusterloom.llm.common import raw, slices, text_frame, word_pieces
 from clusterloom.operators.components import connected_components
 from clusterloom.sources.storage import stored
 
@@ -43,20 +43,23 @@ QUERIES = 4096  # queries that walk the index together
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority of the bits of all shingle hashes, as an unsigned 64-bit number."""
-    words = space_words(text.lower())
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        return digest(b" ".join(words), SEED)
-    if shingle == 3:
-        hashes = [digest(b"%b %b %b" % t, SEED) for t in zip(words, words[1:], words[2:])]
-    else:
-        hashes = [digest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(shingle)))]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    """Majority of the bits of all shingle hashes, as an unsigned 64-bit number; long texts go piece by piece."""
+    digest, tail = xxhash.xxh64_intdigest, []
+    ones, total = np.zeros(64, np.int64), 0
+    for words in word_pieces(text.lower()):
+        words = [*tail, *words]
+        if shingle == 3:
+            hashes = [digest(b"%b %b %b" % t, SEED) for t in zip(words, words[1:], words[2:])]
+        else:
+            hashes = [digest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(shingle)))]
+        if hashes:
+            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones += bits.sum(axis=0, dtype=np.int64)
+            total += len(hashes)
+        tail = words[-(shingle - 1) :] if shingle > 1 else []
+    if not total:
+        return digest(b" ".join(tail), SEED) if tail else 0
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from clusterloom.llm import decontaminate, huffman, licenses, mixing, pii, quality, repeats, sharding, simhash, tokens, topk
+from clusterloom.llm import common, decontaminate, huffman, licenses, mixing, pii, quality, repeats, sharding, simhash, tokens, topk
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa mit license apache general public".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, row string, k string, size long"
@@ -254,6 +254,38 @@ def test_quality(spark, docs, nothing):
     assert quality.train(nothing, labels).score(np.zeros(0, np.int64)) == 1.0
 
 
+def plain_fingerprint(text, n=3):
+    """The contract's rule, bit by bit."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+    grams = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if h and 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_long_texts_go_piece_by_piece(monkeypatch):
+    """Fingerprints and features do not depend on where a text is cut."""
+    rng = np.random.default_rng(4)
+    parts = ["Ab", "é", "x!", "aa", "12", "ÀB", "\x00z", "\x1cq"]
+    for _ in range(60):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "\n", "\x0b", "\t "]) for _ in range(int(rng.integers(0, 60))))
+        whole = quality.features(text.encode()).tolist()
+        for size in (1, 7, 40):
+            with monkeypatch.context() as m:
+                m.setattr(simhash, "word_pieces", lambda t, size=size: common.word_pieces(t, size))
+                m.setattr(quality, "PIECE", size)
+                assert simhash.fingerprint(text.encode()) == plain_fingerprint(text)
+                assert quality.features(text.encode()).tolist() == whole
+    assert simhash.fingerprint(b" \n") == 0
+
+
+def test_a_bounded_sample_is_fitted(spark):
+    table = spark.createDataFrame([(i, f"{'good' if i % 2 else 'BAD!!'} w{i} " * 9) for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    model = quality.train(table, labels, places=1500)
+    held = quality.score(table, model).collect()
+    assert np.mean([(r["score"] >= 0.3) == (r["id"] % 2 == 1) for r in held]) > 0.9
+
+
 def test_huffman_round_trip():
     rng = np.random.default_rng(1)
     counts = np.zeros(1000, np.int64)
