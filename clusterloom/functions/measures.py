@@ -71,7 +71,7 @@ def agreement(truth: DataFrame, found: DataFrame) -> DataFrame:
     nmi = F.when(F.abs(ha + hb) < 1e-12, 1.0).otherwise(2 * mi / (ha + hb))
     ratio = lambda x, y: F.when(y > 0, x / y).otherwise(1.0)
     r = lambda c, name: F.round(c, 6).alias(name)
-    return t.select(n.cast("long").alias("nodes"), r(ari, "ari"), r(nmi, "nmi"), r(ratio(s, b), "precision"), r(ratio(s, a), "recall"), r(ratio(2 * s, a + b), "f1"), r(F.when(total > a, (b - s) / (total - a)).otherwise(0.0), "fpr"), r(1 - ratio(s, a), "fnr"))
+    return t.select(F.coalesce(n, F.lit(0)).cast("long").alias("nodes"), r(ari, "ari"), r(F.coalesce(nmi, F.lit(1.0)), "nmi"), r(ratio(s, b), "precision"), r(ratio(s, a), "recall"), r(ratio(2 * s, a + b), "f1"), r(F.when(total > a, (b - s) / (total - a)).otherwise(0.0), "fpr"), r(1 - ratio(s, a), "fnr"))
 
 
 def filled(nodes: DataFrame, clustering: DataFrame) -> DataFrame:

@@ -92,6 +92,12 @@ def _k_valid(e: DataFrame) -> DataFrame:
     return connected_components(inner).join(both, "node").groupBy("component").agg(F.expr("bool_and(degree >= 2)").alias("valid"), F.count(F.lit(1)).alias("n"))
 
 
+def _accuracy(s: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
+    """Parts by size against a regrouping of the graph's nodes that leaves a third of its clusters out."""
+    found = by_brand(s, d).join(nodes, F.col("node_id") == F.col("node"), "left_semi").withColumn("cluster_id", F.expr("(cluster_id + node_id % 2) % 20"))
+    return measures.accuracy(nodes, by_brand(s, d), found.where("cluster_id % 3 <> 0"))
+
+
 def _entropy(edges: DataFrame, blocks: DataFrame, model: str) -> DataFrame:
     found = blockmodel.description_length(edges, blocks, model)
     return found.withColumn("entropy", F.round("entropy", 4))
@@ -208,7 +214,7 @@ def _queries(copart: Callable, supplied: Callable, looped: Callable, indexed: st
         "sbm_entropy_pp": lambda s, d: _entropy(copart(s, d), by_brand(s, d), "pp"),
         "sbm_flat_best": lambda s, d: blockmodel.best_blocks(copart(s, d))[1],
         "sbm_nested_dc": lambda s, d: blockmodel.nested_blocks(copart(s, d), "dc")[0][0],
-        "accuracy": lambda s, d: measures.accuracy(graph.nodes(copart(s, d)), by_brand(s, d), _component_clustering(copart(s, d)).where("cluster_id % 3 <> 0")),
+        "accuracy": lambda s, d: _accuracy(s, d, graph.nodes(copart(s, d))),
         "infomap": lambda s, d: localmove.local_move(copart(s, d), "infomap"),
     }
 
@@ -287,7 +293,8 @@ q AS (SELECT sum(n * (n - 1) / 2) AS cb, sum(n * ln(n)) AS hb FROM (SELECT sum(n
 SELECT N::BIGINT AS nodes, round((s - ra * cb / (N * (N - 1) / 2)) / ((ra + cb) / 2 - ra * cb / (N * (N - 1) / 2)), 6) AS ari,
 round(2 * (ln(N) + (hs - ha - hb) / N) / (2 * ln(N) - (ha + hb) / N), 6) AS nmi, round(s / cb, 6) AS precision, round(s / ra, 6) AS recall, round(2 * s / (ra + cb), 6) AS f1,
 round((cb - s) / (N * (N - 1) / 2 - ra), 6) AS fpr, round(1 - s / ra, 6) AS fnr FROM c, r, q""",
-        "accuracy": f"""{comp}, l AS (SELECT 'c' || p_size AS a, CASE WHEN component % 3 <> 0 THEN 'c' || component ELSE 'n' || node END AS b, component % 3 <> 0 AS known FROM c JOIN part ON p_partkey = node),
+        "accuracy": f"""WITH e AS ({COPART}), g AS (SELECT node, p_size, (p_size + node % 2) % 20 AS r FROM {nodes} JOIN part ON p_partkey = node),
+l AS (SELECT 'c' || p_size AS a, CASE WHEN r % 3 <> 0 THEN 'c' || r ELSE 'n' || node END AS b, r % 3 <> 0 AS known FROM g),
 t AS (SELECT 'singletons' AS policy, a, b, count(*) AS n FROM l GROUP BY ALL UNION ALL SELECT 'intersection', a, b, count(*) FROM l WHERE known GROUP BY ALL),
 z AS (SELECT policy, sum(n * (n - 1) / 2) AS s, sum(n * ln(n)) AS hs, sum(n) AS N FROM t GROUP BY policy),
 r AS (SELECT policy, sum(n * (n - 1) / 2) AS ra, sum(n * ln(n)) AS ha FROM (SELECT policy, sum(n)::DOUBLE AS n FROM t GROUP BY policy, a) GROUP BY policy),
