@@ -15,13 +15,16 @@ from clusterloom.sources.storage import stored
 PATIENCE = 30
 
 
-def _h_index(links: DataFrame, rounds: int | None = None) -> DataFrame | None:
+def _h_index(links: DataFrame, rounds: int | None = None, upper: DataFrame | None = None) -> DataFrame | None:
     """(node, core) of (u, v) links in both directions, or None if ``rounds`` are not enough.
 
-    Values start at the degree, and each round a node takes
+    Values start at the degree, or at ``upper`` (node, most) where that is less, and each round a node takes
     the h-index of its neighbours' values, until none falls.  Neighbours are counted by value before they
     are ranked, so a hub's list is no longer than the values that occur around it."""
-    state = stored(links.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("core")))
+    state = links.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("core"))
+    if upper is not None:
+        state = state.join(upper, "node", "left").select("node", F.least("core", "most").alias("core"))
+    state = stored(state)
     done = 0
     while rounds is None or done < rounds:
         done += 1
@@ -67,14 +70,14 @@ def _folded(links: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFram
         links = stored(links)
 
 
-def core_numbers(edges: DataFrame) -> DataFrame:
-    """(node, core) with in+out degree, parallel edges counted, loops ignored.
+def core_numbers(edges: DataFrame, upper: DataFrame | None = None) -> DataFrame:
+    """(node, core) with in+out degree, parallel edges counted, loops ignored.  ``upper`` (node, most): known upper bounds.
 
     Where ``PATIENCE`` rounds do not settle the values, trees and chains are folded first: what that removes has core 1,
     a chain that stays has its representative's core (2 at most, for it has two links).  Both ways give the same cores."""
     every = nodes(edges)
     links = stored(adjacency(edges.where("src <> dst")))
-    cores = _h_index(links, PATIENCE)
+    cores = _h_index(links, PATIENCE, upper)
     if cores is None:
         rest, chains, cycles = _folded(links)
         cores = _h_index(rest)
@@ -95,9 +98,10 @@ def iterative_k_core(edges: DataFrame, k: int = 0, index: DataFrame | None = Non
     ``graph.node_index`` makes it from an edge list's order), without one by smallest node; singletons are dropped.
     """
     left = stored(profile(edges, "loopless_multi").select("src", "dst"))
-    found = None
+    found, upper = None, None
     while True:
-        cores = stored(core_numbers(left))
+        cores = stored(core_numbers(left, upper))
+        upper = cores.select("node", F.col("core").alias("most"))  # taking nodes off raises no core
         top = cores.agg(F.max("core")).first()[0]
         if top is None or top < max(k, 1):
             break
