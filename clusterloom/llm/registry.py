@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clusterloom.llm import decontaminate, licenses, mixing, pii, quality, repeats, sharding, simhash, tokens, topk
+from clusterloom.llm import chat, decontaminate, fim, licenses, mixing, pii, quality, repeats, sharding, simhash, spelling, tokens, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_templates": licenses.op8_license_templates,
         "op9_systematic_mix": mixing.op9_systematic_mix,
         "op10_fm_decontamination": decontaminate.op10_fm_decontamination,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_typed_chat": chat.op12_typed_chat,
+        "op13_fill_in_middle": fim.op13_fill_in_middle,
     }
 
 
@@ -30,4 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_kdtree_topk": topk.OP7_SQL,
         "op9_systematic_mix": mixing.OP9_SQL,
         "op10_fm_decontamination": decontaminate.OP10_SQL,
+        "op11_spelling_variants": spelling.OP11_SQL,
+        "op12_typed_chat": chat.OP12_SQL,
+        "op13_fill_in_middle": fim.OP13_SQL,
     }
