@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.functions.logmath import log_choose, log_factorial, log_multiset
 from clusterloom.functions.measures import best_model
+from clusterloom.operators.blocksearch import search
 from clusterloom.operators.localmove import local_labels, prepared
 from clusterloom.sources.edges import profile
 from clusterloom.sources.storage import stored
@@ -82,11 +83,10 @@ def candidates(edges: DataFrame, seed: int = 1234) -> list[DataFrame]:
 
 
 def fit_blocks(edges: DataFrame, model: str, seed: int = 1234, tried: list[DataFrame] | None = None) -> tuple[DataFrame, float]:
-    """(node_id, cluster_id) of every node, and its description length: the least among the candidates,
-    the coarser on a tie.  The search covers assortative partitions, not the whole block matrix."""
-    found = [(description_length(edges, blocks, model).first()["entropy"], i, blocks) for i, blocks in enumerate(tried or candidates(edges, seed))]
-    length, _, blocks = min(found, key=lambda x: x[:2])
-    return blocks, length
+    """(node_id, cluster_id) of every node, and its description length: what the search of the block matrix finds,
+    never longer than the least of the candidates."""
+    blocks = stored(search(edges, model, seed, candidates(edges, seed) if tried is None else tried))
+    return blocks, description_length(edges, blocks, model).first()["entropy"]
 
 
 def best_blocks(edges: DataFrame, models: tuple[str, ...] = MODELS, seed: int = 1234) -> tuple[str, DataFrame, DataFrame]:

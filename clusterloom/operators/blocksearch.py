@@ -93,8 +93,9 @@ class Graph:
 
 @dataclass(frozen=True)
 class State:
-    """``label`` (node, block); ``near`` (node, r, u, d): edges from a node of block r to block u; ``cells`` (r, u, m): the
-    matrix, inner edges counted twice; ``blocks`` (block, n, e, inner); the number of blocks, inner edges and the length."""
+    """``label`` (node, block) and ``near`` (node, r, u, d), the edges from a node of block r to block u, are written; summed
+    from them are ``cells`` (r, u, m), the matrix, inner edges counted twice, and ``blocks`` (block, n, e, inner).
+    The number of blocks, inner edges and the length are known."""
 
     label: DataFrame
     near: DataFrame
@@ -109,9 +110,9 @@ def state_of(g: Graph, label: DataFrame) -> State:
     """The tables behind a partition of all nodes and its description length, but for what the graph alone adds."""
     ends = g.links.join(label.selectExpr("node AS near", "block AS u"), "near")
     near = stored(ends.groupBy("node", "u").agg(F.expr("count(1) AS d")).join(label.withColumnRenamed("block", "r"), "node").select("node", "r", "u", "d"))
-    cells = stored(near.groupBy("r", "u").agg(F.expr("sum(d) AS m")))
+    cells = near.groupBy("r", "u").agg(F.expr("sum(d) AS m"))
     sizes = label.join(g.nodes, "node").groupBy("block").agg(F.expr("count(1) AS n"), F.expr("sum(k) AS e"))
-    blocks = stored(sizes.join(cells.where("r = u").selectExpr("r AS block", "m"), "block", "left").selectExpr("block", "n", "e", "coalesce(m div 2, 0) AS inner"))
+    blocks = sizes.join(cells.where("r = u").selectExpr("r AS block", "m"), "block", "left").selectExpr("block", "n", "e", "coalesce(m div 2, 0) AS inner")
     matrix = cells.selectExpr(f"-sum(CASE WHEN r = u THEN {_inner('m / 2')} ELSE {_lf('m')} / 2 END) AS x", "CAST(null AS BIGINT) AS b", "CAST(null AS BIGINT) AS w")
     rows = blocks.selectExpr(f"sum({_block(g.model, 'n', 'e')}) AS x", "count(1) AS b", "sum(inner) AS w")
     found = {row["b"] is None: row for row in rows.unionByName(matrix).collect()}  # one row each
@@ -224,18 +225,25 @@ def merged(g: Graph, s: State, round_: int, shorter: bool = False) -> State | No
     change = merge_changes(g, s, asked)
     if shorter:
         change = change.where("change < -1e-9")
-    joins = stored(_best(change, "r", "t").withColumnRenamed("r", "block"))
-    if joins.isEmpty():
-        return None
+    joins = _best(change, "r", "t").withColumnRenamed("r", "block")
+    if not shorter:
+        found = _joined(g, s, joins)
+        return found if found.b < s.b else None
+    joins = stored(joins)
     one_each = _best(joins.withColumnRenamed("block", "r"), "t", "r").withColumnRenamed("r", "block")
-    for some in (joins, one_each, joins.orderBy("change", "block").limit(1)) if shorter else (joins,):
-        label = stored(s.label.join(some.select("block", "t"), "block", "left").selectExpr("node", "coalesce(t, block) AS block"))
-        found = state_of(g, label)
-        if not shorter or found.length < s.length - 1e-9:
+    for some in (joins, one_each, joins.orderBy("change", "block").limit(1)):
+        found = _joined(g, s, some)
+        if found.b == s.b:
+            return None
+        if found.length < s.length - 1e-9:
             return found
     return None
 
 
+def _joined(g: Graph, s: State, joins: DataFrame) -> State:
+    return state_of(g, stored(s.label.join(joins.select("block", "t"), "block", "left").selectExpr("node", "coalesce(t, block) AS block")))
+
+
 def settled(g: Graph, s: State, round_: int = 10_000) -> State:
     """Moved, and where moves make no progress merged, until twice in a row neither does."""
     still = 0
@@ -281,20 +289,16 @@ def simple_graph(edges: DataFrame, model: str, seed: int = 1234) -> tuple[Graph,
 def search(edges: DataFrame, model: str, seed: int = 1234, starts: list[DataFrame] | None = None) -> DataFrame:
     """(node_id, cluster_id) of every node: the shortest description found; ``cluster_id`` is text.
 
-    ``starts``: partitions (node_id, cluster_id) of all nodes; the best of them is settled too, so the result is never longer than any of them.
+    ``starts``: partitions (node_id, cluster_id) of all nodes; the shortest of them and of the path is settled, so the result is never longer than any of them.
     An empty graph gives no rows."""
     g, ids = simple_graph(edges, model, seed)
     if not g.n:
         return ids.select("node_id", F.col("node").cast("string").alias("cluster_id"))
-    best = min(path(g, state_of(g, g.nodes.selectExpr("node", "node AS block"))), key=lambda s: (s.length, s.b))
-    found = [settled(g, best)]
-    given = []
+    found = path(g, state_of(g, g.nodes.selectExpr("node", "node AS block")))
     for start in starts or []:
         named = ids.join(start.select("node_id", F.col("cluster_id").alias("c")), "node_id", "left")
         named = named.select("node", F.coalesce(F.concat(F.lit("c"), F.col("c").cast("string")), F.concat(F.lit("n"), F.col("node").cast("string"))).alias("c"))
         names = named.groupBy("c").agg(F.min("node").alias("block"))
-        given.append(state_of(g, stored(named.join(names, "c").select("node", "block"))))
-    if given:
-        found.append(settled(g, min(given, key=lambda s: (s.length, s.b)), 20_000))
-    label = min(found, key=lambda s: (s.length, s.b)).label
+        found.append(state_of(g, stored(named.join(names, "c").select("node", "block"))))
+    label = settled(g, min(found, key=lambda s: (s.length, s.b))).label
     return label.join(ids, "node").select("node_id", F.col("block").cast("string").alias("cluster_id"))
