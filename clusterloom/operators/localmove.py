@@ -5,9 +5,12 @@ nodes start alone again and merge, within the cluster only, with what they gain
 groups become the nodes of the next level, which starts from the clusters before the refinement.  That is the
 Leiden scheme with the best merge in place of a random one.  A run may be repeated from its result (``iterations``).
 Clusters are split into connected pieces at the end in any case.
-Connected components of at most ``IN_TASK_EDGES`` edges are solved in one task each; larger ones by
-rounds of joins and aggregates in which a seeded half of the nodes may move, so that no task holds a
-component (there without the refinement).  Once a level has few enough edges the kernel of the small ones finishes it.  The graph's
+Connected components of at most ``IN_TASK_EDGES`` edges are solved in one task each; larger ones go through the same
+phases by joins and aggregates, so that no task holds a component.  There many nodes move at once: a hashed half of
+those that gain, fewer where the moves together do not raise the value, at last the best one alone, so the value rises
+with every round and the rounds end by themselves.  The refinement merges nodes that are still alone into groups that wait
+(a hashed half, anew in each round), drawn among the gaining ones by their gain.
+Once a level has few enough edges the kernel of the small ones finishes it from the clusters found.  The graph's
 total weight is passed in, and for the map equation the exit weight of all other components, in passes until
 its value over the whole graph falls no more.
 """
@@ -29,8 +32,10 @@ from clusterloom.sources.storage import stored
 MODELS = ("mod", "cpm", "infomap")
 #: Edges that one task clusters at most.
 IN_TASK_EDGES = 500_000
-#: Rounds of one level at most, and rounds without a better objective after which it ends.
-MAX_ROUNDS, PATIENCE = 24, 4
+#: A round of joined moves that raises the value by less than this part of it brings a level near its end; two in a row end it.
+PROGRESS = 1e-5
+#: Scale of the refinement's draws, in gain for each unit of degree: the smaller, the more often the best merge is drawn.
+RANDOMNESS = 0.01
 
 
 def _plogp(x: float) -> float:
@@ -186,74 +191,159 @@ def _gain(model: str, gamma: float, m: float, all_out: float) -> Column:
     return -(index - 2 * exits + modules)
 
 
-def _level(links: DataFrame, state: DataFrame, model: str, gamma: float, m: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The best labels seen (node, comm, deg, n, loop) and the sums of their clusters."""
-    best, best_value, worse = None, -math.inf, 0
-    for r in range(MAX_ROUNDS + 1):
-        near = stored(links.join(state.select(F.col("node").alias("v"), "comm"), "v").groupBy("u", "comm").agg(F.sum("w").alias("w")))
-        mine = state.join(near.withColumnRenamed("u", "node"), ["node", "comm"], "left").select("node", F.col("comm").alias("own"), "deg", "n", "loop", F.coalesce("w", F.lit(0.0)).alias("w_own"))
-        totals = stored(mine.groupBy(F.col("own").alias("comm")).agg(F.sum("deg").alias("k"), F.sum("n").alias("size"), (F.sum("loop") + F.sum("w_own") / 2).alias("inner")))
-        value = _value(totals, model, gamma, m)
-        if value > best_value + 1e-12:
-            best, best_value, worse = (state, totals), value, 0
-        else:
-            worse += 1
-        if worse >= PATIENCE or r == MAX_ROUNDS:
+def _near(links: DataFrame, state: DataFrame, group: str) -> DataFrame:
+    """(u, group, w): weight from each node to each group of its neighbours, itself left out."""
+    return links.join(state.selectExpr("node AS v", group), "v").groupBy("u", group).agg(F.expr("sum(w) AS w"))
+
+
+def _sums(near: DataFrame, state: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """``state`` with ``own`` and the weight ``w_own`` to it, and (group, k, size, inner) of the groups."""
+    mine = state.join(near.withColumnRenamed("u", "node"), ["node", group], "left").withColumnRenamed(group, "own").withColumn("w_own", F.expr("coalesce(w, 0D)")).drop("w")
+    return mine, mine.groupBy(F.col("own").alias(group)).agg(F.expr("sum(deg) AS k"), F.expr("sum(n) AS size"), F.expr("sum(loop) + sum(w_own) / 2 AS inner"))
+
+
+def _offers(near: DataFrame, mine: DataFrame, totals: DataFrame, group: str, model: str, gamma: float, m: float, all_out: float) -> DataFrame:
+    """Rows of ``mine`` for each neighbouring group that they gain by joining: ``group`` and ``gain``."""
+    own = totals.selectExpr(f"{group} AS own", "k AS k_own", "size AS size_own", "inner AS inner_own")
+    asked = near.withColumnRenamed("u", "node").join(mine.join(own, "own"), "node").where(f"{group} <> own").join(totals, group)
+    return asked.withColumn("gain", _gain(model, gamma, m, all_out)).where("gain > 1e-12")
+
+
+def _all_out(totals: DataFrame) -> float:
+    return totals.agg(F.expr("coalesce(sum(k - 2 * inner), 0D)")).first()[0]
+
+
+def _level(links: DataFrame, state: DataFrame, model: str, gamma: float, m: float, seed: int) -> DataFrame:
+    """The labels ``comm`` of ``state`` (node, comm, deg, n, loop, component) once no round of moves raises the value further."""
+
+    def known(state: DataFrame) -> tuple:
+        near = stored(_near(links, state, "comm"))
+        mine, totals = _sums(near, state, "comm")
+        return state, near, mine, totals, _value(totals, model, gamma, m)
+
+    now, round_, slow = known(state), 0, 0
+    while slow < 2:
+        state, near, mine, totals, value = now
+        gains = _offers(near, mine, totals, "comm", model, gamma, m, _all_out(totals) if model == "infomap" else 0.0)
+        to = gains.groupBy("node").agg(F.expr("max(struct(gain, -comm AS less)) AS b")).selectExpr("node", "-b.less AS new", "b.gain")
+        to = stored(to)
+        turn = f"pmod(xxhash64({seed}, {round_}, node), 1048576) / 1048576D"
+        one = to.orderBy(F.desc("gain"), "node").limit(1)
+        better = None
+        for some in (*(to.where(f"{turn} < {part}") for part in (0.5, 0.125, 0.03125)), one):
+            moved = state.join(some.select("node", "new"), "node", "left").withColumn("comm", F.expr("coalesce(new, comm)")).drop("new")
+            found = known(stored(moved.select(*state.columns)))
+            if found[-1] > value + 1e-12:
+                better = found
+                break
+        if better is None:
+            break
+        slow = slow + 1 if better[-1] - value < PROGRESS * abs(value) else 0
+        now, round_ = better, round_ + 1
+    return now[0]
+
+
+def _refined(links: DataFrame, state: DataFrame, model: str, gamma: float, m: float, seed: int) -> DataFrame:
+    """``state`` with ``grp``: connected groups within the clusters ``comm``, from every node alone.
+
+    A node that is alone, and well connected to its cluster, joins a waiting group of it by which it gains; which one is
+    drawn with weights exp(gain / scale).  Each group is as well connected to its cluster when it is joined."""
+    inside = stored(links.join(state.selectExpr("node AS u", "comm AS a"), "u").join(state.selectExpr("node AS v", "comm AS b"), "v").where("a = b").select("u", "v", "w"))
+    reach = inside.groupBy(F.col("u").alias("node")).agg(F.expr("sum(w) AS reach"))
+    clusters = state.groupBy("comm").agg(F.expr("sum(deg) AS k_comm"), F.expr("sum(n) AS n_comm"))
+    rows = stored(state.join(reach, "node", "left").join(clusters, "comm").withColumn("reach", F.expr("coalesce(reach, 0D)")).withColumn("grp", F.col("node")))
+    keep = [c for c in rows.columns if c != "grp"]
+    least = {"mod": f"{gamma!r}D * k * (k_comm - k) / {2 * m!r}D", "cpm": f"{gamma!r}D * size * (n_comm - size)"}.get(model)
+    round_ = 0
+    while True:
+        near = stored(_near(inside, rows, "grp"))
+        mine, totals = _sums(near, rows, "grp")
+        facts = mine.groupBy(F.col("own").alias("grp")).agg(F.expr("sum(reach - w_own) AS leaves"), F.expr("count(1) AS members"), F.expr("first(k_comm) AS k_comm"), F.expr("first(n_comm) AS n_comm"))
+        facts = totals.join(facts, "grp").withColumn("fit", F.expr(f"leaves >= {least}") if least else F.lit(True))
+        fit = facts.where("fit")
+        alone = mine.join(fit.where("members = 1").selectExpr("grp AS own"), "own", "left_semi").select("node", "own", "w_own", "deg", "n", "loop")
+        all_out = _all_out(totals) if model == "infomap" else 0.0
+        gains = stored(_offers(near, alone, totals, "grp", model, gamma, m, all_out).join(fit.select("grp"), "grp", "left_semi").select("node", "own", "grp", "deg", "gain"))
+        if gains.isEmpty():
+            return rows.select(*state.columns, "grp")
+        waits = lambda c: f"pmod(xxhash64({seed}, {round_}, {c}), 2) = 0"
+        noise = f"-ln(-ln((pmod(xxhash64({seed + 1}, {round_}, node, grp), 1048576) + 0.5D) / 1048576D))"
+        scale = f"{RANDOMNESS}D * deg" if model == "mod" else f"{RANDOMNESS}D" if model == "cpm" else f"{RANDOMNESS / m!r}D"
+        drawn = gains.where(f"NOT ({waits('own')}) AND {waits('grp')}").groupBy("node").agg(F.expr(f"max(struct(gain / ({scale}) + {noise} AS x, grp)) AS b"))
+        rows = stored(rows.join(drawn.selectExpr("node", "b.grp AS to"), "node", "left").selectExpr(*keep, "coalesce(to, grp) AS grp"))
+        round_ += 1
+
+
+def _aggregated(links: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The groups ``grp`` as nodes: links between them, and their state in the clusters that hold them."""
+    ends = links.join(state.selectExpr("node AS u", "grp AS a"), "u").join(state.selectExpr("node AS v", "grp AS b"), "v")
+    inner = ends.where("a = b").groupBy(F.col("a").alias("grp")).agg(F.expr("sum(w) / 2 AS inner"))
+    names = state.groupBy("comm").agg(F.expr("min(grp) AS name"))
+    merged = state.join(names, "comm").groupBy("grp").agg(F.expr("first(name) AS comm"), F.expr("sum(deg) AS deg"), F.expr("sum(n) AS n"), F.expr("sum(loop) AS loop"), F.expr("first(component) AS component"))
+    merged = merged.join(inner, "grp", "left").selectExpr("grp AS node", "comm", "deg", "n", "loop + coalesce(inner, 0D) AS loop", "component")
+    return stored(ends.where("a <> b").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.expr("sum(w) AS w"))), stored(merged)
+
+
+def _distributed(grouped: DataFrame, model: str, gamma: float, m: float, seed: int, iterations: int = 1) -> DataFrame:
+    """(node_id, piece) of the nodes of (src, dst, weight, component), each pair once, without one task holding them."""
+    ends = grouped.select(F.col("src").alias("node_id"), "component").union(grouped.select("dst", "component")).distinct()
+    ids = stored(dense_index(ends, ["node_id"], "id").selectExpr("node_id", "CAST(id AS BIGINT) AS id", "component"))
+    one = grouped.join(ids.selectExpr("node_id AS src", "id AS u"), "src").join(ids.selectExpr("node_id AS dst", "id AS v"), "dst").selectExpr("u", "v", "weight AS w")
+    links = stored(one.union(one.select("v", "u", "w")))
+    degree = links.groupBy(F.col("u").alias("id")).agg(F.expr("sum(w) AS deg"))
+    alone = ids.join(degree, "id").selectExpr("id AS node", "id AS comm", "deg", "1L AS n", "0D AS loop", "component")
+    state, done, before = stored(alone), 0, None
+    while True:
+        label = _hierarchy(links, state, model, gamma, m, seed + done)
+        done += 1
+        changed = before is None or not before.join(label, ["node", "comm"], "left_anti").isEmpty()
+        if done == iterations or not changed:
             break
-        all_out = totals.agg(F.coalesce(F.sum(F.col("k") - 2 * F.col("inner")), F.lit(0.0))).first()[0]
-        # Only the nodes whose turn it is look for a cluster, so neighbours seldom swap.
-        turn = mine.where(F.pmod(F.xxhash64(F.lit(seed), F.lit(r // 2), "node"), F.lit(2)) == r % 2)
-        own = totals.select(F.col("comm").alias("own"), F.col("k").alias("k_own"), F.col("size").alias("size_own"), F.col("inner").alias("inner_own"))
-        offers = near.withColumnRenamed("u", "node").join(turn.join(own, "own"), "node").where("comm <> own").join(totals, "comm")
-        gain = offers.withColumn("gain", _gain(model, gamma, m, all_out)).where("gain > 1e-12")
-        to = gain.groupBy("node").agg(F.max(F.struct("gain", (-F.col("comm")).alias("less"))).alias("to")).select("node", (-F.col("to.less")).alias("new"))
-        state = stored(state.join(to, "node", "left").select("node", F.coalesce("new", "comm").alias("comm"), "deg", "n", "loop"))
-    return best
-
-
-def _distributed(links: DataFrame, model: str, gamma: float, m: float, seed: int) -> DataFrame:
-    """(node_id, piece) of the nodes of (src, dst, weight), each pair once, without one task holding them."""
-    ids = stored(dense_index(links.select(F.col("src").alias("node_id")).union(links.select("dst")).distinct(), ["node_id"], "id").select("node_id", F.col("id").cast("long").alias("id")))
-    one = links.join(ids.select(F.col("node_id").alias("src"), F.col("id").alias("u")), "src").join(ids.select(F.col("node_id").alias("dst"), F.col("id").alias("v")), "dst").select("u", "v", F.col("weight").alias("w"))
-    cur = stored(one.union(one.select("v", "u", "w")))
-    state = stored(cur.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("deg")).select("node", F.col("node").alias("comm"), "deg", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("loop")))
-    member = ids.select("node_id", F.col("id").alias("node"))
+        before = label
+        state = stored(alone.drop("comm").join(label, "node").select(*alone.columns))
+    least = ids.withColumnRenamed("id", "node").join(label, "node")
+    named = least.groupBy("comm").agg(F.min("node_id").alias("piece"))
+    return least.join(named, "comm").select("node_id", "piece")
+
+
+def _hierarchy(links: DataFrame, state: DataFrame, model: str, gamma: float, m: float, seed: int) -> DataFrame:
+    """(node, comm): levels of moves, refinement and aggregation; a cluster is named by its smallest node."""
+    member = state.selectExpr("node", "node AS at")
     while True:
-        if cur.count() <= 2 * IN_TASK_EDGES:
-            label = _rest(cur, state, model, gamma, m, seed)
-            member = member.join(label, "node").select("node_id", F.col("comm").alias("node"))
+        if links.count() <= 2 * IN_TASK_EDGES:
+            state = _rest(links, state, model, gamma, m, seed)
             break
-        before = state.count()
-        state, totals = _level(cur, state, model, gamma, m, seed)
-        label = state.select("node", "comm")
-        member = stored(member.join(label, "node").select("node_id", F.col("comm").alias("node")))
-        if totals.count() == before:
+        state = _level(links, state, model, gamma, m, seed)
+        refined = stored(_refined(links, state, model, gamma, m, seed))
+        if refined.where("grp <> node").isEmpty():
             break
-        ends = cur.join(label.select(F.col("node").alias("u"), F.col("comm").alias("a")), "u").join(label.select(F.col("node").alias("v"), F.col("comm").alias("b")), "v")
-        cur = stored(ends.where("a <> b").groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("w").alias("w")))
-        state = stored(totals.select(F.col("comm").alias("node"), "comm", F.col("k").alias("deg"), F.col("size").alias("n"), F.col("inner").alias("loop")))
-    least = member.groupBy("node").agg(F.min("node_id").alias("piece"))
-    return member.join(least, "node").select("node_id", "piece")
+        member = stored(member.join(refined.selectExpr("node AS at", "grp"), "at").selectExpr("node", "grp AS at"))
+        links, state = _aggregated(links, refined)
+    found = stored(member.join(state.selectExpr("node AS at", "comm"), "at").select("node", "comm"))
+    names = found.groupBy("comm").agg(F.expr("min(node) AS name"))
+    return stored(found.join(names, "comm").selectExpr("node", "name AS comm"))
 
 
 def _rest(links: DataFrame, state: DataFrame, model: str, gamma: float, m: float, seed: int) -> DataFrame:
-    """(node, comm) of a level of at most 2 x IN_TASK_EDGES rows; nodes that no edge names keep their own."""
-    rows = links.where("u < v").join(state.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("loop").alias("lu")), "u").join(state.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("loop").alias("lv")), "v")
+    """(node, comm) of a level of at most 2 x IN_TASK_EDGES rows, from its clusters; nodes that no edge names keep their own."""
+    of = lambda end: state.selectExpr(f"node AS {end}", f"n AS n{end}", f"loop AS l{end}", f"comm AS c{end}", *(["component"] if end == "u" else []))
+    rows = links.where("u < v").join(of("u"), "u").join(of("v"), "v")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf["u"]) | set(pdf["v"]))
         at = {v: i for i, v in enumerate(names)}
-        sizes, loops = [1] * len(names), [0.0] * len(names)
-        for end, n, loop in (("u", "nu", "lu"), ("v", "nv", "lv")):
-            for x, size, inner in zip(pdf[end], pdf[n], pdf[loop], strict=True):
-                sizes[at[x]], loops[at[x]] = size, inner
+        sizes, loops, start = [1] * len(names), [0.0] * len(names), [0] * len(names)
+        for end in "uv":
+            for x, size, inner, comm in zip(pdf[end], pdf[f"n{end}"], pdf[f"l{end}"], pdf[f"c{end}"], strict=True):
+                sizes[at[x]], loops[at[x]], start[at[x]] = size, inner, comm
+        start, _ = _named(start)
         pairs = sorted((at[a], at[b], w) for a, b, w in zip(pdf["u"], pdf["v"], pdf["w"], strict=True))
-        label = cluster_component(pairs, len(names), model, gamma, m, seed, loops, sizes)
+        label = _levels(pairs, loops, sizes, model, gamma, m, seed, start, 0.0)
         first = {c: i for i, c in reversed(list(enumerate(label)))}
         return pd.DataFrame({"node": names, "comm": [names[first[c]] for c in label]})
 
-    found = rows.withColumn("every", F.lit(0)).groupBy("every").applyInPandas(solve, "node long, comm long")
-    return stored(state.select("node").join(found, "node", "left").select("node", F.coalesce("comm", "node").alias("comm")))
+    found = rows.groupBy("component").applyInPandas(solve, "node long, comm long")
+    return stored(state.select("node").join(found, "node", "left").selectExpr("node", "coalesce(comm, node) AS comm"))
 
 
 def prepared(edges: DataFrame) -> tuple[DataFrame, float]:
@@ -294,8 +384,8 @@ def local_labels(ready: tuple[DataFrame, float], model: str, resolution: float =
         return pd.DataFrame({"node_id": names, "piece": [names[least[c]] for c in label]})
 
     small = F.col("n_edges") <= IN_TASK_EDGES
-    large = grouped.where(~small).select("src", "dst", "weight")
-    far = None if large.isEmpty() else stored(_distributed(large, model, resolution, m, seed))
+    large = grouped.where(~small).select("src", "dst", "weight", "component")
+    far = None if large.isEmpty() else stored(_distributed(large, model, resolution, m, seed, iterations))
 
     def solved(rows: DataFrame) -> DataFrame:
         found = rows.where(small).groupBy("component").applyInPandas(solve, f"node_id {node}, piece {node}")
@@ -321,7 +411,7 @@ def local_labels(ready: tuple[DataFrame, float], model: str, resolution: float =
 def local_move(edges: DataFrame, model: str, resolution: float = 1.0, seed: int = 1234, iterations: int = 2) -> DataFrame:
     """(node_id, cluster_id) by the model ``mod``, ``cpm`` or ``infomap``; connected, no singletons.
 
-    Weights of the edges count; ``iterations`` as in ``cluster_component``, for components that one task solves.
+    Weights of the edges count; ``iterations`` as in ``cluster_component``.
     Rows with a null end are ignored; an empty graph gives no rows."""
     if model not in MODELS:
         raise ValueError(f"unknown model {model!r}; one of {MODELS}")

@@ -77,15 +77,15 @@ def test_a_round_of_moves_never_lengthens(spark):
 def test_blocks_without_edges_inside_are_found(spark):
     """Two sides of a bipartite graph: no partition by density of edges inside comes near them."""
     rng = random.Random(1)
-    pairs = [(a, 30 + b) for a in range(30) for b in range(30) if rng.random() < 0.4]
+    pairs = [(a, 16 + b) for a in range(16) for b in range(16) if rng.random() < 0.6]
     edges = spark.createDataFrame(pairs, "src long, dst long")
-    alone = spark.createDataFrame([(v, str(v)) for v in range(60)], "node_id long, cluster_id string")
+    alone = spark.createDataFrame([(v, str(v)) for v in range(32)], "node_id long, cluster_id string")
     blocks, length = blockmodel.fit_blocks(edges, "dc", tried=[alone.withColumn("cluster_id", alone.cluster_id * 0)])
     sides = {}
     for r in blocks.collect():
         sides.setdefault(r["cluster_id"], set()).add(r["node_id"])
-    assert sorted(map(min, sides.values())) == [0, 30] and sorted(map(len, sides.values())) == [30, 30]
-    assert length == pytest.approx(plain_length(pairs, {v: v // 30 for v in range(60)}, "dc"), abs=1e-6)
+    assert sorted(map(min, sides.values())) == [0, 16] and sorted(map(len, sides.values())) == [16, 16]
+    assert length == pytest.approx(plain_length(pairs, {v: v // 16 for v in range(32)}, "dc"), abs=1e-6)
 
 
 def test_empty_graph_and_unknown_model(spark):

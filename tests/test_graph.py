@@ -89,7 +89,6 @@ def test_distributed_moves_find_planted_groups(spark, model, monkeypatch):
     groups: dict[str, set] = {}
     ready = localmove.prepared(edges)
     monkeypatch.setattr(localmove, "IN_TASK_EDGES", 60)
-    monkeypatch.setattr(localmove, "MAX_ROUNDS", 10)
     for r in localmove.local_labels(ready, model).collect():
         groups.setdefault(r["piece"], set()).add(r["node_id"])
     assert all(k == min(v) for k, v in groups.items()) and sum(map(len, groups.values())) == 90
