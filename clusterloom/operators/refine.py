@@ -15,6 +15,9 @@ from clusterloom.operators.graph import dense_index
 from clusterloom.sources.edges import profile
 from clusterloom.sources.storage import stored
 
+#: Edges of a cluster that one task holds, unless a sparse certificate is larger.
+IN_TASK_EDGES = 500_000
+
 _CRITERION = re.compile(r"^\s*([0-9.eE+-]+)?\s*(?:n\^([0-9.]+)|log_([0-9.]+)\(n\))?\s*$")
 
 
@@ -167,17 +170,124 @@ def cluster_links(pdf: pd.DataFrame) -> tuple[list, Links]:
     return names, links
 
 
+def forest_levels(src: list[int], dst: list[int], n: int, k: int) -> tuple[list[int], list[int]]:
+    """For each edge the first of k forests that it joins two trees of, k if there is none, and each node's tree in the last.
+
+    Each forest spans what the ones before leave over.  So a cut of fewer than k edges has all of them in the forests, a
+    larger one at least k, and nodes in one tree of the last forest are on the same side of every cut of fewer than k edges."""
+    tree = [list(range(n)) for _ in range(k)]
+
+    def find(up: list[int], i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    level = []
+    for a, b in zip(src, dst, strict=True):
+        low, high = 0, k  # joined in a forest means joined in all before it
+        while low < high:
+            middle = (low + high) // 2
+            if find(tree[middle], a) == find(tree[middle], b):
+                low = middle + 1
+            else:
+                high = middle
+        level.append(low)
+        if low < k:
+            tree[low][find(tree[low], a)] = find(tree[low], b)
+    return level, [find(tree[-1], i) for i in range(n)]
+
+
+def _places(pdf: pd.DataFrame) -> tuple[list, list[int], list[int]]:
+    names = sorted(set(pdf["src"]) | set(pdf["dst"]))
+    at = {v: i for i, v in enumerate(names)}
+    return names, [at[v] for v in pdf["src"]], [at[v] for v in pdf["dst"]]
+
+
+def sparse_certificate(links: DataFrame) -> DataFrame:
+    """Of (cluster_id, src, dst, k): edges that keep every cut of a cluster of fewer than k edges, and k of the larger ones.
+
+    Edges are dealt to chunks that one task holds, each is thinned to k forests, and what is left is dealt again while it
+    shrinks: certificates of parts make one of the whole.  A cluster of n nodes ends with about k n edges."""
+    columns = links.columns
+
+    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, src, dst = _places(pdf)
+        k = int(pdf["k"].iloc[0])
+        level, _ = forest_levels(src, dst, len(names), k)
+        return pdf[[x < k for x in level]][columns]
+
+    left, round_ = math.inf, 0
+    while True:
+        sizes = stored(links.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("m")))
+        total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+        if sizes.where(F.col("m") > IN_TASK_EDGES).isEmpty() or total > 0.8 * left:
+            return links
+        chunk = F.expr(f"pmod(xxhash64({round_}, src, dst), ceil(m / {IN_TASK_EDGES}))").alias("chunk")
+        links = stored(links.join(sizes, "cluster_id").select(*columns, chunk).groupBy("cluster_id", "chunk").applyInPandas(thin, links.schema))
+        left, round_ = total, round_ + 1
+
+
+def split_of(src: list[int], dst: list[int], n: int, k: int, criterion: str) -> list[int]:
+    """The part of each of n nodes, from a certificate for cuts of fewer than k > f(n) edges; one part if no cut is that small.
+
+    Trees of the last forest stay whole.  They are cut off while few edges leave them, each by a cut of the whole
+    cluster, which is no smaller than the cut of what is left; where none is, the minimum cut parts the cluster in two."""
+    level, tree = forest_levels(src, dst, n, k)
+    roots = sorted(set(tree))
+    if len(roots) == 1:
+        return [0] * n
+    at = {r: i for i, r in enumerate(roots)}
+    group = [at[r] for r in tree]
+    size = [0] * len(roots)
+    for g in group:
+        size[g] += 1
+    links: Links = [{} for _ in roots]
+    for a, b, x in zip(src, dst, level, strict=True):
+        a, b = group[a], group[b]
+        if a != b and x < k:
+            links[a][b] = links[b][a] = links[a].get(b, 0.0) + 1.0
+    part, left = [0] * len(roots), n
+    degree = [sum(x.values()) for x in links]
+    for g in sorted(range(len(roots)), key=lambda g: (degree[g], g)):
+        if size[g] == left or degree[g] > bound(criterion, left):
+            break
+        part[g] = max(part) + 1
+        left -= size[g]
+    if left == n:
+        cut, side = min_cut(links)
+        if cut <= bound(criterion, n):
+            for g in side:
+                part[g] = 1
+    return [part[g] for g in group]
+
+
+def _parted(edges: DataFrame, whole: DataFrame, large: DataFrame, criterion: str) -> tuple[DataFrame, DataFrame]:
+    """Of the clusters ``large`` (cluster_id, n): (node_id, piece) of those that no small cut parts, and (node_id, cluster_id) of
+    the parts of the others."""
+    order = large.select("cluster_id", (F.floor(criterion_column(criterion, F.col("n")) + 1e-9) + 1).cast("int").alias("k"))
+    links = inside(edges, whole.join(large.select("cluster_id"), "cluster_id", "left_semi")).join(order, "cluster_id").select("cluster_id", "src", "dst", "k")
+    node, kind = edges.schema["src"].dataType.simpleString(), whole.schema["cluster_id"].dataType.simpleString()
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, src, dst = _places(pdf)
+        found = split_of(src, dst, len(names), int(pdf["k"].iloc[0]), criterion)
+        return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[0], "node_id": names, "part": found, "parts": max(found) + 1})
+
+    found = stored(sparse_certificate(links).groupBy("cluster_id").applyInPandas(part, f"cluster_id {kind}, node_id {node}, part int, parts int"))
+    kept = found.where("parts = 1")
+    least = kept.groupBy("cluster_id").agg(F.min("node_id").alias("piece"))
+    return kept.join(least, "cluster_id").select("node_id", "piece"), found.where("parts > 1").selectExpr("node_id", "concat_ws(' ', cluster_id, part) AS cluster_id")
+
+
 def well_connected_clusters(edges: DataFrame, clustering: DataFrame, criterion: str, recluster=None) -> DataFrame:
     """WCC (or CM with ``recluster``): clusters cut until each piece's minimum cut exceeds f(n).
 
     Clusters are first split into components, which is all that criteria below one ask for: those never
-    reach Python.  Of the others one task holds one cluster's edges.
+    reach Python.  Of the others one task cuts a cluster of at most ``IN_TASK_EDGES`` edges until all is done.  Larger ones are
+    thinned to a sparse certificate, in chunks; a task that holds this one finds the cut, or all the parts that hang
+    on few edges, and the parts come back to the first step (CM does not cluster these anew before they fit a task).
     """
-    whole = stored(connected_clusters(edges, clustering))
-    sizes = whole.groupBy("cluster_id").agg(criterion_column(criterion, F.count(F.lit(1))).alias("least"))
-    ready = whole.join(sizes.where("least < 1").select("cluster_id"), "cluster_id", "left_semi")
-    least = ready.groupBy("cluster_id").agg(F.min("node_id").alias("piece"))
-    links = inside(edges, whole.join(sizes.where("least >= 1").select("cluster_id"), "cluster_id", "left_semi"))
     node = edges.schema["src"].dataType.simpleString()
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -185,13 +295,30 @@ def well_connected_clusters(edges: DataFrame, clustering: DataFrame, criterion:
         rows = [(names[i], names[min(p)]) for p in well_connected(links, criterion, recluster) for i in p]
         return pd.DataFrame(rows, columns=["node_id", "piece"])
 
-    cut = links.groupBy("cluster_id").applyInPandas(split, f"node_id {node}, piece {node}")
-    return numbered(ready.join(least, "cluster_id").select("node_id", "piece").unionByName(cut))
+    done = None
+    while True:
+        whole = stored(connected_clusters(edges, clustering))
+        links = inside(edges, whole)
+        sizes = whole.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).join(links.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("m")), "cluster_id")
+        sizes = stored(sizes.withColumn("least", criterion_column(criterion, F.col("n"))))
+        ready = whole.join(sizes.where("least < 1").select("cluster_id"), "cluster_id", "left_semi")
+        least = ready.groupBy("cluster_id").agg(F.min("node_id").alias("piece"))
+        small = sizes.where("least >= 1").where(F.col("m") <= IN_TASK_EDGES).select("cluster_id")
+        cut = links.join(small, "cluster_id", "left_semi").groupBy("cluster_id").applyInPandas(split, f"node_id {node}, piece {node}")
+        found = ready.join(least, "cluster_id").select("node_id", "piece").unionByName(cut)
+        large = sizes.where("least >= 1").where(F.col("m") > IN_TASK_EDGES).select("cluster_id", "n")
+        if large.isEmpty():
+            return numbered(found if done is None else done.unionByName(found))
+        kept, clustering = _parted(edges, whole, large, criterion)
+        found = stored(found.unionByName(kept))
+        done = found if done is None else done.unionByName(found)
 
 
 def cluster_cuts(edges: DataFrame, clustering: DataFrame) -> DataFrame:
     """(cluster_id, n, min_cut, cut_log, cut_sqrt): each cluster's least edge cut, 0 if it is not connected,
-    and its ratio to log10(n) and sqrt(n) (0 for a single node)."""
+    and its ratio to log10(n) and sqrt(n) (0 for a single node).
+
+    No cut is above the least degree, so a cluster of more than ``IN_TASK_EDGES`` edges is thinned to the certificate for the cuts up to that."""
     sizes = clustering.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -199,7 +326,14 @@ def cluster_cuts(edges: DataFrame, clustering: DataFrame) -> DataFrame:
         return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[:1], "joined": len(names), "cut": min_cut(links)[0]})
 
     kind = clustering.schema["cluster_id"].dataType.simpleString()
-    found = inside(edges, clustering).groupBy("cluster_id").applyInPandas(cut, f"cluster_id {kind}, joined long, cut double")
+    links = stored(inside(edges, clustering))
+    large = links.groupBy("cluster_id").count().where(F.col("count") > IN_TASK_EDGES).select("cluster_id")
+    if not large.isEmpty():
+        ends = links.select("cluster_id", F.col("src").alias("v")).union(links.select("cluster_id", "dst")).join(large, "cluster_id", "left_semi")
+        order = ends.groupBy("cluster_id", "v").count().groupBy("cluster_id").agg((F.min("count") + 1).cast("int").alias("k"))
+        thinned = sparse_certificate(links.join(order, "cluster_id")).select("cluster_id", "src", "dst")
+        links = links.join(large, "cluster_id", "left_anti").unionByName(thinned)
+    found = links.groupBy("cluster_id").applyInPandas(cut, f"cluster_id {kind}, joined long, cut double")
     n = F.col("n")
     value = F.when(F.col("joined") == n, F.col("cut")).otherwise(0.0)
     ratio = lambda by: F.when(n > 1, value / by).otherwise(0.0)
