@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.functions.logmath import log_factorial
+from clusterloom.operators.components import connected_components
 from clusterloom.sources.edges import profile
 
 
@@ -46,6 +47,13 @@ def coverage(edges: DataFrame, clustering: DataFrame) -> DataFrame:
     return one.select("nodes", "clustered", "m", "m_in", F.round(F.col("clustered") / F.col("nodes"), 6).alias("node_coverage"), F.round(F.col("m_in") / F.col("m"), 6).alias("edge_coverage"))
 
 
+def cluster_components(edges: DataFrame, clustering: DataFrame) -> DataFrame:
+    """(cluster_id, n, components): nodes of every cluster and connected parts that its inner edges leave, lone nodes included."""
+    inner = _labelled(edges, clustering).where("cu = cv").select("src", "dst")
+    parts = clustering.join(connected_components(inner), F.col("node_id") == F.col("node"), "left")
+    return parts.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("component") + F.count(F.when(F.col("component").isNull(), 1))).alias("components"))
+
+
 def contingency(truth: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b, n) over the nodes that both label."""
     t = truth.select("node_id", F.col("cluster_id").alias("a"))

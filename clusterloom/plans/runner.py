@@ -164,15 +164,17 @@ def choose_best(spark: SparkSession, models: list[str], entropies: list[str], ou
     return best["model"]
 
 
-def cluster(edges: DataFrame, algorithm: Algorithm, seed: int = 1234, iterations: int = 2) -> dict[str, DataFrame | str]:
-    """Tables of a clustering step: ``com.csv``, and ``entropy.txt`` for block models."""
+def cluster(edges: DataFrame, algorithm: Algorithm, seed: int = 1234, iterations: int = 2, rows: DataFrame | None = None) -> dict[str, DataFrame | str]:
+    """Tables of a clustering step: ``com.csv``, and ``entropy.txt`` for block models.
+
+    ``rows``: the edges with their place ``at``; IKC numbers clusters by the first appearance of their nodes in it."""
     if algorithm.family == "leiden":
         resolution = 1.0 if algorithm.resolution is None else algorithm.resolution
         return {"com.csv": localmove.local_move(edges, algorithm.model, resolution, seed, iterations)}
     if algorithm.family == "infomap":
         return {"com.csv": localmove.local_move(edges, "infomap", seed=seed)}
     if algorithm.family == "ikc":
-        return {"com.csv": kcore.iterative_k_core(edges, algorithm.k).select("node_id", "cluster_id")}
+        return {"com.csv": kcore.iterative_k_core(edges, algorithm.k, graph.node_index(rows, "at") if rows is not None else None).select("node_id", "cluster_id")}
     form, _, model = algorithm.model.partition("-")
     if form == "flat":
         blocks, length = blockmodel.fit_blocks(edges, model, seed)
@@ -215,6 +217,7 @@ class Runner:
         if not self.files.exists(routes.edges):
             raise FileNotFoundError(routes.edges)
         self.edges = read_edges(spark, routes.edges, settings.weighted)
+        self.rows = read_edges(spark, routes.edges, ordered=True)
 
     def _holds(self, folder: str, key: dict) -> bool:
         if not self.files.exists(f"{folder}/done.json"):
@@ -323,7 +326,7 @@ class Runner:
             log.warning("%s does not take %s: left out", name, r)
         if name in BEST:
             return self._best(name, wanted)
-        base = self.step(self.routes.output("clusterings", name), {"algorithm": name, "seed": s.seed, "weighted": s.weighted, "iterations": s.iterations}, [self.routes.edges], lambda: cluster(self.edges, algorithm, s.seed, s.iterations), s.timeout)
+        base = self.step(self.routes.output("clusterings", name), {"algorithm": name, "seed": s.seed, "weighted": s.weighted, "iterations": s.iterations}, [self.routes.edges], lambda: cluster(self.edges, algorithm, s.seed, s.iterations, self.rows), s.timeout)
         com = f"{base}/com.csv"
         self._evaluate(com, (name,))
         for kind in wanted:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 PROFILES = ("multigraph", "accumulated", "loopless_multi", "simple")
 
 
-def read_edges(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
+def read_edges(spark: SparkSession, path: str, weighted: bool = False, ordered: bool = False) -> DataFrame:
     """(src, dst, weight) as text ids, by the names source/target if both exist, else by position.
 
-    Ids are never parsed, so ``007`` and ``NA`` stay; a row with an empty end raises.
+    Ids are never parsed, so ``007`` and ``NA`` stay; a row with an empty end raises.  ``ordered`` adds ``at``, a row's place:
+    the file, the block of it, and the row within.
     """
     rows = spark.read.csv(path, header=True, inferSchema=False, nullValue="\u0000", emptyValue="")
     cols = rows.columns
@@ -19,7 +20,8 @@ def read_edges(spark: SparkSession, path: str, weighted: bool = False) -> DataFr
     src, dst = ("source", "target") if named else cols[:2]
     extra = [c for c in cols if c not in (src, dst)]
     weight = F.col(f"`{extra[0]}`").cast("double") if weighted and extra else F.lit(1.0)
-    edges = rows.select(F.col(f"`{src}`").alias("src"), F.col(f"`{dst}`").alias("dst"), weight.alias("weight"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at")
+    edges = rows.select(F.col(f"`{src}`").alias("src"), F.col(f"`{dst}`").alias("dst"), weight.alias("weight"), *([place] if ordered else []))
     bad = edges.where("src IS NULL OR dst IS NULL OR src = '' OR dst = ''").count()
     if bad:
         raise ValueError(f"{bad} edges have an empty end")

@@ -91,3 +91,12 @@ def test_weights_and_history_of_the_modifier(spark, edge_file):
     assert {r["node_id"]: r["cluster_id"] for r in read_clustering(spark, str(base / "com.csv")).collect()} == {"1": 0, "2": 0, "3": 0, "4": 1, "5": 1, "6": 1}
     cm = edge_file / "out/clusterings/leiden-mod+cm(0.5)"
     assert (cm / "history.log").read_text() == "before,after,nodes\n0,0,3\n1,1,3\n" and "ran in" in (cm / "cm.log").read_text()
+
+
+def test_ikc_clusters_are_numbered_by_the_edge_list(spark, edge_file):
+    """Equal cores: the cluster of the first row comes first, whatever the ids."""
+    (edge_file / "e.csv").write_text("source,target\nz,y\ny,x\nz,x\n1,2\n2,3\n1,3\n10,11\n11,12\n10,12\n")
+    r = runner.Runner(spark, routes(edges=str(edge_file / "e.csv"), out_dir=str(edge_file / "out")), runner.Settings())
+    r.run("ikc-2")
+    got = {x["node_id"]: x["cluster_id"] for x in read_clustering(spark, str(edge_file / "out/clusterings/ikc-2/com.csv")).collect()}
+    assert [got[v] for v in ("z", "y", "x", "1", "2", "3", "10", "11", "12")] == [0, 0, 0, 1, 1, 1, 2, 2, 2]
