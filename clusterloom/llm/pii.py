@@ -3,7 +3,8 @@
 Candidate spans come from the base patterns (which always stay) and from looser ones: valid numbers inside a
 run that fails as a whole, numbers in national form, addresses written around, assigned and bare
 keys, names.  Labelers vote on each candidate: its written form, a validity rule (checksum, ranges,
-spread of characters), a gazetteer (domain endings, card issuers, calling codes, key prefixes, first names), words
+spread of characters; digests, UUIDs, paths and parts of URLs are no keys unless a name or a word before them says so, nor
+places names of people), a gazetteer (domain endings, card issuers, calling codes, key prefixes, first names), words
 that speak for it, words that speak against it, and its boundaries.  A labeler says yes, no or nothing,
 and none knows whether the candidate is a base span.  Votes of the whole corpus are counted by vote pattern (at
 most 3^6 for each kind), expectation-maximisation estimates for each kind how reliable each labeler is, starting
@@ -111,7 +112,13 @@ _AGAINST = {
     "secret": ("sha", "checksum", "commit", "md", "hash", "digest", "revision", "uuid", "etag"),
     "name": ("street", "avenue", "city", "the", "university", "road"),
 }
+#: Words that make a place or a thing of the name before them.
+_PLACES = frozenset("airport avenue boulevard street road lane drive square plaza park bridge station terminal university college school institute hospital church cathedral museum library stadium city county river lake island beach hotel award prize foundation straße strasse allee platz flughafen bahnhof schule universität krankenhaus aéroport rue place gare université hôpital aeropuerto calle avenida plaza universidad".split())
 _WORD = re.compile(r"[^\W\d_]+")
+#: What looks like a key and is none unless something says so: digests in hexadecimal, UUIDs, words joined as in paths and names of modules.
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_JOINED = re.compile(r"[/_-]")
 
 
 def luhn(digits: str) -> bool:
@@ -233,6 +240,20 @@ def _calling_code(digits: str) -> bool:
     return digits[0] in "17" or digits[:2] in ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49") or digits[0] == "5" and digits[1] in "12345678" or digits[:2] in ("60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98") or digits[:2] in ("21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "59", "67", "68", "69", "85", "88", "96", "97", "99")
 
 
+def _no_key(text: str, a: int, b: int) -> bool:
+    """Whether a bare run is shaped like a digest, a UUID, a path or a part of a URL."""
+    span = text[a:b]
+    if _HEX.fullmatch(span) or _UUID.fullmatch(span):
+        return True
+    ahead = text[max(0, a - 256) : a]
+    run = ahead.split()[-1] if ahead and not ahead[-1].isspace() else ""
+    if "://" in run or run.startswith("www.") or re.match(r"https?:/?", span):
+        return True
+    pieces = _JOINED.split(span)
+    wordy = sum(len(p) for p in pieces if p.isalpha() and (p.islower() or p.isupper() or p.istitle()) and len(p) <= 20)
+    return len(pieces) >= 3 and wordy + len(pieces) - 1 >= 0.6 * len(span)
+
+
 def _said(good: bool) -> int:
     return YES if good else NO
 
@@ -240,6 +261,7 @@ def _said(good: bool) -> int:
 def votes(text: str, kind: int, a: int, b: int) -> tuple[int, int]:
     """Vote pattern (base 3) and shape (length class, neighbours) of a candidate."""
     name, span = KINDS[kind], text[a:b]
+    before = [w.lower() for w in _WORD.findall(text[max(0, a - 32) : a])]
     digits = "".join(c for c in span if "0" <= c <= "9")
     if name == "email":
         user, domain = _AT.split(span, maxsplit=1)
@@ -269,14 +291,16 @@ def votes(text: str, kind: int, a: int, b: int) -> tuple[int, int]:
         assigned = _ASSIGNED.search(text, max(0, a - 40), b) is not None
         kinds = any(c.islower() for c in span) + any(c.isupper() for c in span) + bool(digits)
         form = _said(assigned or re.fullmatch(r"[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[A-Za-z0-9_+/-]{32,}={0,2}", span) is not None)
-        valid = _said(kinds >= 2 and bool(digits) and entropy(span) >= min(3.0, 0.75 * log2(len(span))))
+        named = assigned or span.startswith(KEY_PREFIXES)
+        denied = any(w in _AGAINST[name] for w in before[-2:]) or not any(w in _NEAR[name] for w in before) and _no_key(text, a, b)
+        valid = _said((named or not denied) and kinds >= 2 and bool(digits) and entropy(span) >= min(3.0, 0.75 * log2(len(span))))
         known = YES if assigned or span.startswith(KEY_PREFIXES) else SILENT
     else:
         words = span.split(" ")
         form = _said(all(w[:1].isupper() and not w.isupper() for w in words if w))
-        valid = _said(len(words) >= 2 and all(len(w.strip(".")) >= 2 for w in words))
+        place = words[-1].lower() in _PLACES or any(w.lower() in _PLACES for w in _WORD.findall(text[b : b + 32])[:2])
+        valid = _said(len(words) >= 2 and all(len(w.strip(".")) >= 2 for w in words) and (not place or _TITLED.match(span) is not None))
         known = _said(any(w.split("-")[0].lower() in NAMES for w in words))
-    before = [w.lower() for w in _WORD.findall(text[max(0, a - 32) : a])]
     if name == "name":
         before += ["name"] if _TITLED.match(span) else []
     speaks = YES if any(w in _NEAR[name] for w in before) else SILENT
