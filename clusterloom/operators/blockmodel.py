@@ -163,12 +163,13 @@ def hierarchy(matrix: DataFrame, blocks: DataFrame, n_blocks: int, n_edges: int,
 def nested_blocks(edges: DataFrame, model: str, seed: int = 1234, tried: list[DataFrame] | None = None) -> tuple[list[DataFrame], float]:
     """Levels of (node_id, cluster_id), the nodes' blocks first, and the nested description length.
 
-    The edge prior of the flat model gives way to a hierarchy of groups of blocks.  Level 0 is the least of
-    the candidates of the flat fit, the coarser on a tie; an empty graph has length 0."""
+    The edge prior of the flat model gives way to a hierarchy of groups of blocks.  Level 0 is, of the candidates of the flat fit and
+    of what it finds, the one that is shortest with its hierarchy, the coarser on a tie; an empty graph has length 0."""
     if model not in NESTED:
         raise ValueError(f"no nested form of {model!r}; one of {NESTED}")
     simple, found = profile(edges, "simple"), []
-    for i, blocks in enumerate(tried or candidates(edges, seed)):
+    tried = tried or candidates(edges, seed)
+    for i, blocks in enumerate([*tried, stored(search(edges, model, seed, tried))]):
         flat = description_length(edges, blocks, model).first()
         matrix = stored(block_matrix(simple, blocks))
         every = blocks.select(F.col("cluster_id").alias("node_id")).distinct()

@@ -1,7 +1,7 @@
 """Runs of a configuration: clustering, refinements and evaluations as steps with a manifest each.
 
 A step's folder holds its tables (CSV with header, written by Spark; names that end in ``.csv`` or ``.log`` are one file
-each, put together from the sorted parts without one task holding them), texts such as ``entropy.txt``, ``run.log`` (and ``cc.log``,
+each, put together from the sorted parts without one task holding them), texts such as ``entropy.txt``, ``run.log``, ``output.log`` and ``error.log`` (and ``cc.log``,
 ``wcc.log`` or ``cm.log`` of a refinement), ``done`` with SHA-256 and path of each single file, and ``done.json``: the parameters, the
 content of the inputs and that of the tables, and the seconds of loading, running and saving.  A step whose manifest still holds is not run again.  The
 manifest goes before a step begins and comes back by a rename after all tables are written, so a failed or
@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import json
 import logging
+import resource
 import threading
 import time
+import traceback
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -29,7 +31,7 @@ from clusterloom.sources.edges import read_clustering, read_edges
 from clusterloom.sources.storage import stored
 
 log = logging.getLogger("clusterloom")
-VERSION = 2  # of what the steps compute; a new one makes old manifests stale
+VERSION = 3  # of what the steps compute; a new one makes old manifests stale
 BEST = {"sbm-flat-best": ("sbm-flat-dc", "sbm-flat-ndc", "sbm-flat-pp"), "sbm-nested-best": ("sbm-nested-dc", "sbm-nested-ndc")}
 WEEK = 7 * 24 * 3600.0
 
@@ -228,8 +230,10 @@ class Runner:
         return all(self.files.exists(f"{folder}/{n}") and content(self.spark, f"{folder}/{n}") == c for n, c in done["tables"].items())
 
     def step(self, folder: str, params: dict, inputs: list[str], work: Callable[[], dict[str, DataFrame]], timeout: float | None = None) -> str:
-        """Run ``work`` and write its tables, unless the manifest of ``folder`` says that they stand."""
-        lines, load = [], time.perf_counter()
+        """Run ``work`` and write its tables, unless the manifest of ``folder`` says that they stand.
+
+        ``run.log`` and ``output.log`` hold the phases; ``error.log`` the error if there is one, the time and the driver's peak memory."""
+        lines, errors, load = [], [], time.perf_counter()
         tell = lambda text: lines.append(f"{time.strftime('%Y-%m-%d %H:%M:%S')} {text}\n")
         tell(f"begin {folder} {json.dumps(params)}")
         key = {"version": VERSION, "params": params, "inputs": {p: content(self.spark, p) for p in inputs}}
@@ -257,12 +261,15 @@ class Runner:
         except Exception as e:
             self.report.steps[folder] = f"failed: {str(e)[:200]}"
             tell(self.report.steps[folder])
+            errors.append(traceback.format_exc())
             raise
         finally:
             if timer:
                 timer.cancel()
                 sc.setLocalProperty("spark.jobGroup.id", None)
-            for name in ("run.log", *([f"{params['refinement']}.log"] if "refinement" in params else [])):
+            errors.append(f"elapsed seconds: {time.perf_counter() - load:.3f}\nmaximum resident set of the driver's Python: {resource.getrusage(resource.RUSAGE_SELF).ru_maxrss} KB\n")
+            self.files.publish(f"{folder}/error.log", "".join(errors))
+            for name in ("run.log", "output.log", *([f"{params['refinement']}.log"] if "refinement" in params else [])):
                 self.files.publish(f"{folder}/{name}", "".join(lines))
         held = {n: content(self.spark, f"{folder}/{n}") for n in tables}
         single = [f"{folder}/{n}" for n, t in tables.items() if isinstance(t, str) or n.endswith((".csv", ".log"))]

@@ -98,5 +98,10 @@ def test_ikc_clusters_are_numbered_by_the_edge_list(spark, edge_file):
     (edge_file / "e.csv").write_text("source,target\nz,y\ny,x\nz,x\n1,2\n2,3\n1,3\n10,11\n11,12\n10,12\n")
     r = runner.Runner(spark, routes(edges=str(edge_file / "e.csv"), out_dir=str(edge_file / "out")), runner.Settings())
     r.run("ikc-2")
+    own = edge_file / "out/clusterings/ikc-2"
+    assert (own / "output.log").read_text() == (own / "run.log").read_text() and "elapsed seconds" in (own / "error.log").read_text()
+    with pytest.raises(ZeroDivisionError):
+        r.step(str(edge_file / "out/x"), {}, [], lambda: 1 / 0)
+    assert "ZeroDivisionError" in (edge_file / "out/x/error.log").read_text()
     got = {x["node_id"]: x["cluster_id"] for x in read_clustering(spark, str(edge_file / "out/clusterings/ikc-2/com.csv")).collect()}
     assert [got[v] for v in ("z", "y", "x", "1", "2", "3", "10", "11", "12")] == [0, 0, 0, 1, 1, 1, 2, 2, 2]
