@@ -31,6 +31,8 @@ MODELS = ("dc", "ndc", "pp")
 NODE_DRAWS, BLOCK_DRAWS, DIRECT = 3, 5, 2
 #: Parts of the moves that are tried together, one after the other where a larger part lengthens the description.
 PARTS = (0.5, 0.125, 0.03125)
+#: On the way down, nodes move until a round shortens the description by less than this part.
+SETTLED = 5e-3
 #: A round counts as progress if it shortens the description by this part at least.
 PROGRESS = 1e-6
 
@@ -265,7 +267,11 @@ def path(g: Graph, s: State, round_: int = 1) -> list[State]:
         idle = 0 if step else idle + 1
         s = step or s
         if step and (s.b <= 0.6 * swept or s.b <= 4):
-            swept, s = s.b, moved(g, s, round_) or s
+            swept, further = s.b, moved(g, s, round_)
+            while further:  # the fewer the blocks, the more rounds until the nodes have found theirs
+                done = s.length - further.length < SETTLED * abs(s.length)
+                s, round_ = further, round_ + 1
+                further = None if done else moved(g, s, round_)
         if step:
             states.append(s)
         round_ += 1
