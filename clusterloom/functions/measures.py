@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.functions.logmath import log_factorial
 from clusterloom.operators.components import connected_components
 from clusterloom.sources.edges import profile
+from clusterloom.sources.storage import stored
 
 
 def _labelled(edges: DataFrame, clustering: DataFrame) -> DataFrame:
@@ -96,26 +96,57 @@ def accuracy(nodes: DataFrame, truth: DataFrame, found: DataFrame) -> DataFrame:
     return common.unionByName(agreement(filled(nodes, truth), filled(nodes, found)).withColumn("policy", F.lit("singletons")))
 
 
+#: Sizes of either side fall into this many buckets; every pair of buckets is a key of its own where all pairs of sizes meet.
+SIZE_BUCKETS = 16
+#: Cells of a table with fixed margins that are this unlikely together (natural log) are below what doubles tell apart.
+UNLIKELY = 80.0
+
+
+def expected_information(rows: DataFrame, cols: DataFrame, total: DataFrame) -> DataFrame:
+    """One row (emi): the mean mutual information of clusterings drawn with the cluster sizes given.
+
+    ``rows`` (ra, ka) and ``cols`` (cb, kb) are distinct sizes and their numbers of clusters, ``total`` one row (N).
+    A cell of clusters of a and b nodes is hypergeometric.  Its terms go by their ratios outwards from the likeliest
+    value and are divided by their sum, so nothing of the size of N! is ever subtracted.  The cell is a sum of
+    independent draws, so by Bernstein's bound values further off than the reach below have a mass under 2 exp(-``UNLIKELY``);
+    the reach grows like the root of N.  No sizes give 0."""
+    spread = lambda t, size, mine, other: t.withColumn(mine, F.expr(f"pmod(xxhash64({size}), {SIZE_BUCKETS})")).withColumn(other, F.explode(F.expr(f"sequence(0L, {SIZE_BUCKETS - 1}L)")))
+    pairs = spread(rows, "ra", "i", "j").join(spread(cols, "cb", "j", "i"), ["i", "j"]).join(F.broadcast(total))  # one row
+    pairs = pairs.selectExpr("ka * kb AS k", "double(ra) AS a", "double(cb) AS b", "double(N) AS n")
+    pairs = pairs.selectExpr("*", "n / (a * b) AS c", "greatest(0D, a + b - n) AS lo", "least(a, b) AS hi", "CASE WHEN n > 1 THEN (a / n) * b * ((n - a) / n) * ((n - b) / (n - 1)) ELSE 0D END AS var")
+    reach = f"ceil({UNLIKELY / 3}D + sqrt({UNLIKELY * UNLIKELY / 9}D + {2 * UNLIKELY}D * var))"
+    pairs = pairs.selectExpr("*", "least(hi, greatest(lo, floor((a + 1) * ((b + 1) / (n + 2))))) AS top", f"{reach} AS reach")
+    up = "(a - x + 1) / x * ((b - x + 1) / (n - a - b + x))"
+    down = "(x + 1) / (a - x) * ((n - a - b + x + 1) / (b - x))"
+    value = "CASE WHEN x > 0 THEN x * ln(x * c) ELSE 0D END"
+
+    def tail(first: str, last: str, step: int, ratio: str) -> str:
+        at = f"CASE WHEN {step} * ({last} - {first}) >= 0 THEN sequence(bigint({first}), bigint({last}), {step}L) ELSE array() END"
+        each = f"transform(array(double(q)), x -> named_struct('r', {ratio}, 'f', {value}))[0]"
+        return (
+            f"aggregate(transform({at}, q -> {each}), named_struct('u', 1D, 'p', 0D, 's', 0D),"
+            " (t, e) -> named_struct('u', t.u * e.r, 'p', t.p + t.u * e.r, 's', t.s + t.u * e.r * e.f))"
+        )
+
+    sums = pairs.selectExpr("k", "n", f"transform(array(top), x -> {value})[0] AS f", f"{tail('(top + 1)', 'least(hi, top + reach)', 1, up)} AS above", f"{tail('(top - 1)', 'greatest(lo, top - reach)', -1, down)} AS below")
+    return sums.agg(F.expr("coalesce(sum(k / n * (f + above.s + below.s) / (1 + above.p + below.p)), 0D) AS emi"))
+
+
 def adjusted_information(truth: DataFrame, found: DataFrame) -> DataFrame:
     """One row (nodes, mutual, expected, ami) over the common nodes; two trivial equal clusterings give 1.
 
     The expected information depends on cluster sizes only, so it is summed once for each pair of
     distinct sizes; those are at most sqrt(2 N) on each side.
     """
-    table = contingency(truth, found)
+    table = stored(contingency(truth, found))
     plogp = lambda c: F.sum(F.col(c) * F.log(c))
     cells = table.agg(plogp("n").alias("hs"), F.sum("n").alias("N"))
     rows = table.groupBy("a").agg(F.sum("n").alias("n")).groupBy(F.col("n").alias("ra")).agg(F.count(F.lit(1)).alias("ka"))
     cols = table.groupBy("b").agg(F.sum("n").alias("n")).groupBy(F.col("n").alias("cb")).agg(F.count(F.lit(1)).alias("kb"))
     entropy = lambda t, size, k, name: t.agg(F.sum(F.col(k) * F.col(size) * F.log(size)).alias(name))
     one = cells.join(F.broadcast(entropy(rows, "ra", "ka", "ha"))).join(F.broadcast(entropy(cols, "cb", "kb", "hb")))  # one row each
-    a, b, n, total = (F.col(c) for c in ("ra", "cb", "x", "N"))
-    sizes = rows.join(F.broadcast(cells.select("N"))).withColumn("one", F.lit(1)).join(cols.withColumn("one", F.lit(1)), "one")
-    each = sizes.withColumn("x", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), a + b - total), F.least(a, b))))
-    f = log_factorial
-    chance = F.exp(f(a) + f(b) + f(total - a) + f(total - b) - f(total) - f(n) - f(a - n) - f(b - n) - f(total - a - b + n))
-    expected = each.agg(F.coalesce(F.sum(F.col("ka") * F.col("kb") * n / total * F.log(total * n / (a * b)) * chance), F.lit(0.0)).alias("emi"))
-    t = one.join(F.broadcast(expected))  # one row each
+    t = one.join(F.broadcast(expected_information(rows, cols, cells.select("N"))))  # one row
+    total = F.col("N")
     ha, hb = F.log("N") - F.col("ha") / total, F.log("N") - F.col("hb") / total
     mi = F.log("N") + (F.col("hs") - F.col("ha") - F.col("hb")) / total
     room = (ha + hb) / 2 - F.col("emi")
