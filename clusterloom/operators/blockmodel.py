@@ -9,6 +9,7 @@ block matrix and one over the blocks give the total; no table of log-factorials
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from clusterloom.functions.measures import best_model
 from clusterloom.operators.blocksearch import search
 from clusterloom.operators.localmove import local_labels, prepared
 from clusterloom.sources.edges import profile
+from clusterloom.sources.jobs import side_by_side
 from clusterloom.sources.storage import stored
 
 MODELS = ("dc", "ndc", "pp")
@@ -74,12 +76,13 @@ def candidates(edges: DataFrame, seed: int = 1234) -> list[DataFrame]:
     """Partitions (node_id, cluster_id) of every node, each kept as a table: one block of all nodes, then
     those of the local moves at each of ``RESOLUTIONS``."""
     every = stored(edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).where("node_id IS NOT NULL").distinct())
-    found = [every.withColumn("cluster_id", F.lit("all"))]
     ready = prepared(edges)
-    for resolution in RESOLUTIONS:
+
+    def of(resolution: float) -> DataFrame:
         label = local_labels(ready, "mod", resolution, seed)
-        found.append(stored(every.join(label, "node_id", "left").select("node_id", F.coalesce("piece", "node_id").cast("string").alias("cluster_id"))))
-    return found
+        return stored(every.join(label, "node_id", "left").select("node_id", F.coalesce("piece", "node_id").cast("string").alias("cluster_id")))
+
+    return [every.withColumn("cluster_id", F.lit("all")), *side_by_side([partial(of, resolution) for resolution in RESOLUTIONS])]
 
 
 def fit_blocks(edges: DataFrame, model: str, seed: int = 1234, tried: list[DataFrame] | None = None) -> tuple[DataFrame, float]:
@@ -91,8 +94,9 @@ def fit_blocks(edges: DataFrame, model: str, seed: int = 1234, tried: list[DataF
 
 def best_blocks(edges: DataFrame, models: tuple[str, ...] = MODELS, seed: int = 1234) -> tuple[str, DataFrame, DataFrame]:
     """The winning model's name, its blocks, and the (ord, model, entropy) table of all candidates."""
+    edges = stored(edges)
     tried = candidates(edges, seed)
-    fits = {model: fit_blocks(edges, model, seed, tried) for model in models}
+    fits = dict(zip(models, side_by_side([partial(fit_blocks, edges, model, seed, tried) for model in models]), strict=True))
     table = edges.sparkSession.createDataFrame([(i, k, fits[k][1]) for i, k in enumerate(models)], "ord int, model string, entropy double")
     winner = best_model(table).first()["model"]
     return winner, fits[winner][0], table
@@ -167,14 +171,19 @@ def nested_blocks(edges: DataFrame, model: str, seed: int = 1234, tried: list[Da
     of what it finds, the one that is shortest with its hierarchy, the coarser on a tie; an empty graph has length 0."""
     if model not in NESTED:
         raise ValueError(f"no nested form of {model!r}; one of {NESTED}")
-    simple, found = profile(edges, "simple"), []
+    edges = stored(edges)
+    simple = stored(profile(edges, "simple"))
     tried = tried or candidates(edges, seed)
-    for i, blocks in enumerate([*tried, stored(search(edges, model, seed, tried))]):
+
+    def under(i: int, blocks: DataFrame) -> tuple[float, int, list[DataFrame]]:
         flat = description_length(edges, blocks, model).first()
         matrix = stored(block_matrix(simple, blocks))
         every = blocks.select(F.col("cluster_id").alias("node_id")).distinct()
         levels, length = hierarchy(matrix, every, flat["b"], flat["e"], seed)
         flat_prior = _top(flat["b"], flat["e"]) - (math.log(flat["b"]) if flat["b"] else 0.0)
-        found.append((flat["entropy"] - flat_prior + length, i, [blocks, *levels]))
+        return flat["entropy"] - flat_prior + length, i, [blocks, *levels]
+
+    starts = [partial(under, i, blocks) for i, blocks in enumerate(tried)]
+    found = side_by_side([*starts, lambda: under(len(tried), stored(search(edges, model, seed, tried)))])
     length, _, levels = min(found, key=lambda x: x[:2])
     return levels, length

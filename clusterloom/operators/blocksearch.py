@@ -18,12 +18,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.operators.graph import dense_index
 from clusterloom.sources.edges import profile
+from clusterloom.sources.jobs import side_by_side
 from clusterloom.sources.storage import stored
 
 MODELS = ("dc", "ndc", "pp")
@@ -300,11 +302,14 @@ def search(edges: DataFrame, model: str, seed: int = 1234, starts: list[DataFram
     g, ids = simple_graph(edges, model, seed)
     if not g.n:
         return ids.select("node_id", F.col("node").cast("string").alias("cluster_id"))
-    found = path(g, state_of(g, g.nodes.selectExpr("node", "node AS block")))
-    for start in starts or []:
+
+    def given(start: DataFrame) -> State:
         named = ids.join(start.select("node_id", F.col("cluster_id").alias("c")), "node_id", "left")
         named = named.select("node", F.coalesce(F.concat(F.lit("c"), F.col("c").cast("string")), F.concat(F.lit("n"), F.col("node").cast("string"))).alias("c"))
         names = named.groupBy("c").agg(F.min("node").alias("block"))
-        found.append(state_of(g, stored(named.join(names, "c").select("node", "block"))))
+        return state_of(g, stored(named.join(names, "c").select("node", "block")))
+
+    ways = side_by_side([lambda: path(g, state_of(g, g.nodes.selectExpr("node", "node AS block"))), *(partial(given, start) for start in starts or [])])
+    found = [*ways[0], *ways[1:]]
     label = settled(g, min(found, key=lambda s: (s.length, s.b))).label
     return label.join(ids, "node").select("node_id", F.col("block").cast("string").alias("cluster_id"))
