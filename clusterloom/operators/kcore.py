@@ -15,27 +15,36 @@ from clusterloom.sources.storage import stored
 PATIENCE = 30
 
 
-def _h_index(links: DataFrame, rounds: int | None = None, upper: DataFrame | None = None) -> DataFrame | None:
+def _h_index(links: DataFrame, rounds: int | None = None, upper: DataFrame | None = None, touched: DataFrame | None = None) -> DataFrame | None:
     """(node, core) of (u, v) links in both directions, or None if ``rounds`` are not enough.
 
-    Values start at the degree, or at ``upper`` (node, most) where that is less, and each round a node takes
+    Values start at the degree, or at ``upper`` (node, most) where that is less (or ``touched`` is given), and a node takes
     the h-index of its neighbours' values, until none falls.  Neighbours are counted by value before they
-    are ranked, so a hub's list is no longer than the values that occur around it."""
+    are ranked, so a hub's list is no longer than the values that occur around it.
+
+    A round reads the links of those nodes only whose value may be broken: at first all, or those of ``touched`` (node), which is
+    right where ``upper`` holds for the others; then nodes beside one that fell from no less than their value to below it."""
     state = links.groupBy(F.col("u").alias("node")).agg(F.count(F.lit(1)).alias("core"))
     if upper is not None:
-        state = state.join(upper, "node", "left").select("node", F.least("core", "most").alias("core"))
+        start = F.least("core", "most") if touched is None else F.coalesce("most", "core")  # a fall before the first round would not be told on
+        state = state.join(upper, "node", "left").select("node", start.alias("core"))
     state = stored(state)
+    work = links if touched is None else links.join(touched.select(F.col("node").alias("u")), "u", "left_semi")
     done = 0
     while rounds is None or done < rounds:
         done += 1
-        seen = links.join(state.select(F.col("node").alias("v"), "core"), "v").groupBy("u", "core").agg(F.count(F.lit(1)).alias("n"))
+        seen = work.join(state.select(F.col("node").alias("v"), "core"), "v").groupBy("u", "core").agg(F.count(F.lit(1)).alias("n"))
         at_least = F.sum("n").over(Window.partitionBy("u").orderBy(F.desc("core")))
         h = seen.withColumn("reach", F.least(at_least, F.col("core"))).groupBy(F.col("u").alias("node")).agg(F.max("reach").alias("new"))
-        nxt = stored(state.join(h, "node").select("node", F.least("core", "new").alias("core"), (F.col("new") < F.col("core")).alias("moved")))
-        settled = nxt.where("moved").isEmpty()
+        now = F.least("core", "new")  # nodes outside the work have no new value
+        nxt = stored(state.join(h, "node", "left").select("node", now.alias("core"), F.col("core").alias("was"), (now < F.col("core")).alias("moved")))
+        fell = nxt.where("moved").selectExpr("node AS u", "core AS new", "was")
         state = nxt.select("node", "core")
-        if settled:
+        if fell.isEmpty():
             return state
+        beside = links.join(fell, "u").select("v", "new", "was")
+        broken = beside.join(state.withColumnRenamed("node", "v"), "v").where("new < core AND core <= was").select(F.col("v").alias("u"))
+        work = links.join(broken, "u", "left_semi")
     return None
 
 
@@ -70,14 +79,15 @@ def _folded(links: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFram
         links = stored(links)
 
 
-def core_numbers(edges: DataFrame, upper: DataFrame | None = None) -> DataFrame:
-    """(node, core) with in+out degree, parallel edges counted, loops ignored.  ``upper`` (node, most): known upper bounds.
+def core_numbers(edges: DataFrame, upper: DataFrame | None = None, touched: DataFrame | None = None) -> DataFrame:
+    """(node, core) with in+out degree, parallel edges counted, loops ignored.  ``upper`` (node, most): known upper bounds,
+    with ``touched`` (node) the cores before some links went, and the nodes that lost links.
 
     Where ``PATIENCE`` rounds do not settle the values, trees and chains are folded first: what that removes has core 1,
     a chain that stays has its representative's core (2 at most, for it has two links).  Both ways give the same cores."""
     every = nodes(edges)
     links = stored(adjacency(edges.where("src <> dst")))
-    cores = _h_index(links, PATIENCE, upper)
+    cores = _h_index(links, PATIENCE, upper, touched)
     if cores is None:
         rest, chains, cycles = _folded(links)
         cores = _h_index(rest)
@@ -91,6 +101,12 @@ def core_numbers(edges: DataFrame, upper: DataFrame | None = None) -> DataFrame:
     return known.select("node", F.coalesce("core", "one", F.lit(0)).cast("long").alias("core"))
 
 
+def _neighbours(edges: DataFrame, some: DataFrame) -> DataFrame:
+    """(node) outside ``some`` (node) that has an edge to one of them."""
+    beside = adjacency(edges).join(some.select(F.col("node").alias("u")), "u", "left_semi").select(F.col("v").alias("node")).distinct()
+    return beside.join(some, "node", "left_anti")
+
+
 def iterative_k_core(edges: DataFrame, k: int = 0, index: DataFrame | None = None) -> DataFrame:
     """(node_id, cluster_id, k): components of the innermost core, taken off, until cores fall below k.
 
@@ -98,9 +114,9 @@ def iterative_k_core(edges: DataFrame, k: int = 0, index: DataFrame | None = Non
     ``graph.node_index`` makes it from an edge list's order), without one by smallest node; singletons are dropped.
     """
     left = stored(profile(edges, "loopless_multi").select("src", "dst"))
-    found, upper = None, None
+    found, upper, touched = None, None, None
     while True:
-        cores = stored(core_numbers(left, upper))
+        cores = stored(core_numbers(left, upper, touched))
         upper = cores.select("node", F.col("core").alias("most"))  # taking nodes off raises no core
         top = cores.agg(F.max("core")).first()[0]
         if top is None or top < max(k, 1):
@@ -108,6 +124,7 @@ def iterative_k_core(edges: DataFrame, k: int = 0, index: DataFrame | None = Non
         inner = cores.where(F.col("core") == top).select("node")
         parts = connected_components(induced(left, inner)).withColumn("k", F.lit(int(top)))
         found = parts if found is None else found.unionByName(parts)
+        touched = stored(_neighbours(left, inner))
         left = stored(removed(left, inner))
     if found is None:
         kind = edges.schema["src"].dataType.simpleString()
