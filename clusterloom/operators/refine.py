@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from clusterloom.operators.components import connected_components
 from clusterloom.operators.graph import dense_index
+from clusterloom.operators.mincuts import Links, balanced_cut
 from clusterloom.sources.edges import profile
 from clusterloom.sources.storage import stored
 
@@ -71,9 +72,6 @@ def numbered(pieces: DataFrame) -> DataFrame:
     return pieces.join(ids, "piece").select("node_id", F.col("cluster_id").cast("long").alias("cluster_id"))
 
 
-Links = list[dict[int, float]]
-
-
 def min_cut(links: Links) -> tuple[float, list[int]]:
     """Weight and one side of a minimum cut of a connected graph of neighbour maps.
 
@@ -142,18 +140,21 @@ def within(links: Links, part: list[int]) -> Links:
     return [{at[v]: x for v, x in links[u].items() if v in at} for u in part]
 
 
-def well_connected(links: Links, criterion: str, recluster=None) -> list[list[int]]:
-    """Pieces whose minimum cut exceeds the criterion; ``recluster`` groups each side of a cut first."""
+def well_connected(links: Links, criterion: str, recluster=None, balanced: bool = False) -> list[list[int]]:
+    """Pieces whose minimum cut exceeds the criterion; ``recluster`` groups each side of a cut first.
+
+    A part is cut at any of its minimum cuts, or at the most even of them if ``balanced``."""
     todo, done = [list(range(len(links)))], []
     while todo:
         part = todo.pop()
         if len(part) < 2:
             continue
-        cut, side = min_cut(within(links, part))
+        inner = within(links, part)
+        cut, side = min_cut(inner)
         if cut > bound(criterion, len(part)):
             done.append(sorted(part))
             continue
-        chosen = set(side)
+        chosen = set(balanced_cut(inner, cut, side) if balanced else side)
         for half in ([v for i, v in enumerate(part) if i in chosen], [v for i, v in enumerate(part) if i not in chosen]):
             groups = recluster(within(links, half)) if recluster and len(half) > 1 else [range(len(half))]
             todo += [[half[i] for i in g] for g in groups]
@@ -283,6 +284,8 @@ def _parted(edges: DataFrame, whole: DataFrame, large: DataFrame, criterion: str
 def well_connected_clusters(edges: DataFrame, clustering: DataFrame, criterion: str, recluster=None) -> DataFrame:
     """WCC (or CM with ``recluster``): clusters cut until each piece's minimum cut exceeds f(n).
 
+    CM cuts at the most even of all minimum cuts where a task holds the cluster.
+
     Clusters are first split into components, which is all that criteria below one ask for: those never
     reach Python.  Of the others one task cuts a cluster of at most ``IN_TASK_EDGES`` edges until all is done.  Larger ones are
     thinned to a sparse certificate, in chunks; a task that holds this one finds the cut, or all the parts that hang
@@ -292,7 +295,7 @@ def well_connected_clusters(edges: DataFrame, clustering: DataFrame, criterion:
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         names, links = cluster_links(pdf)
-        rows = [(names[i], names[min(p)]) for p in well_connected(links, criterion, recluster) for i in p]
+        rows = [(names[i], names[min(p)]) for p in well_connected(links, criterion, recluster, balanced=recluster is not None) for i in p]
         return pd.DataFrame(rows, columns=["node_id", "piece"])
 
     done = None
